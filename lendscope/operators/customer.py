@@ -182,7 +182,7 @@ def customer_retention(loans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             # A customer has at most one loan of each ordinal, so the distinct count of
             # customers is the count of non-NULL ones.
             F.count("customer_id").alias("customer_count"),
-            round_to(m.mean("loan_amount"), 0).alias("avg_loan_amount"),
+            round_to(m.mean_money("loan_amount"), 0).alias("avg_loan_amount"),
             round_to(F.avg("gap_days"), 0).alias("avg_days_between_loans"),
             round_to(F.avg("growth_pct"), 2).alias("avg_loan_growth_pct"),
             round_to(m.mean("risk_score"), 0).alias("avg_risk_score"),

@@ -12,7 +12,7 @@ def _measures() -> dict[str, Column]:
     return {
         "total_loans": m.loans(),
         "total_borrowed": m.amount(),
-        "avg_loan_size": m.mean("loan_amount"),
+        "avg_loan_size": m.mean_money("loan_amount"),
         "min_loan_size": F.min("loan_amount"),
         "max_loan_size": F.max("loan_amount"),
         "avg_interest_rate": m.mean("interest_rate"),

@@ -35,7 +35,7 @@ def portfolio_overview(loans: DataFrame) -> DataFrame:
     arrears = dict(zip(PAR_LADDER, ("in_arrears", "par_30", "par_60", "par_90")))
     sums = loans.agg(
         m.amount().alias("total_portfolio_value"),
-        m.mean("loan_amount").alias("avg_loan_size"),
+        m.mean_money("loan_amount").alias("avg_loan_size"),
         round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate_pct"),
         round_to(m.mean("risk_score"), 0).alias("avg_risk_score"),
         round_to(m.mean("tenure_months"), 1).alias("avg_tenure_months"),
@@ -43,7 +43,7 @@ def portfolio_overview(loans: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "Defaulted").alias("defaulted_loans"),
         *(m.amount_where(m.overdue(days)).alias(f"amount_{name}") for days, name in arrears.items()),
         m.amount_where(F.col("status") == "Defaulted").alias("defaulted_amount"),
-        F.sum("expected_loss").alias("total_expected_loss"),
+        m.expected_loss().alias("total_expected_loss"),
         m.loss().alias("total_actual_loss"),
         *(
             F.count_if(F.col("risk_tier") == tier).alias(f"{name}_risk_loans")
@@ -179,7 +179,7 @@ def channel_performance(loans: DataFrame) -> DataFrame:
         .agg(
             m.loans().alias("loan_count"),
             m.amount().cast("double").alias("portfolio_value"),
-            round_to(m.mean("loan_amount"), 0).alias("avg_loan_size"),
+            round_to(m.mean_money("loan_amount"), 0).alias("avg_loan_size"),
             round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate"),
             *(
                 F.count_if(F.col("risk_tier") == tier).alias(f"{tier.lower()}_risk_count")
@@ -198,7 +198,7 @@ def loan_status_breakdown(loans: DataFrame) -> DataFrame:
     by_status = loans.groupBy("status").agg(
         m.loans().alias("loan_count"),
         m.amount().alias("total_amount"),
-        round_to(m.mean("loan_amount"), 0).alias("avg_loan_size"),
+        round_to(m.mean_money("loan_amount"), 0).alias("avg_loan_size"),
         round_to(m.mean("days_past_due"), 0).alias("avg_days_past_due"),
         round_to(m.loss(), 2).alias("total_actual_loss"),
     )
@@ -299,7 +299,7 @@ def risk_score_validation(loans: DataFrame, edges: Sequence[int] = SCORE_EDGES)
             round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate"),
             m.par_rate().alias("par_30_rate_pct"),
             m.loss_rate().alias("actual_loss_rate_pct"),
-            pct(F.sum("expected_loss"), m.amount()).alias("expected_loss_rate_pct"),
+            pct(m.expected_loss(), m.amount()).alias("expected_loss_rate_pct"),
             m.loss_variance().alias("loss_variance_pct"),
         )
         .orderBy(place_in(F.col("risk_score_band"), band_names(edges)))

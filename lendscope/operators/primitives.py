@@ -194,7 +194,7 @@ def global_aggregate(loans: DataFrame) -> DataFrame:
     return loans.agg(
         m.loans().alias("loan_count"),
         m.amount().cast("double").alias("portfolio_value"),
-        m.mean("loan_amount").alias("avg_loan_size"),
+        m.mean_money("loan_amount").alias("avg_loan_size"),
     )
 
 
