@@ -28,8 +28,8 @@ def portfolio_overview(loans: DataFrame) -> DataFrame:
     """One row of key figures for the whole portfolio.
 
     The sums need no shuffle beyond one row per task. The two distinct counts do, so
-    they run as scalar subqueries over their own single column: inside the same
-    aggregate they would multiply every row by three and carry all its sums along.
+    they run as scalar subqueries that read the ids alone: inside the same aggregate they
+    would multiply every row by three and carry all its sums through the shuffle.
     """
     tier_names = {tier: tier.lower() for tier in reversed(RISK_TIERS)}
     arrears = dict(zip(PAR_LADDER, ("in_arrears", "par_30", "par_60", "par_90")))
