@@ -52,12 +52,15 @@ def latest_of(*names: str) -> Column:
     return F.max(F.struct("origination_date", "loan_id", *names))
 
 
-def customer_metrics(loans: DataFrame, *names: str) -> DataFrame:
-    """`customer_id` and the named measures, one row per customer.
+def customer_metrics(loans: DataFrame, *names: str, **more: Column) -> DataFrame:
+    """`customer_id`, the named measures and `more` aggregates, one row per customer.
 
     Every measure merges partial results of fixed or low-cardinality size, so a customer
     that holds a large part of all loans is reduced on the map side. A NULL customer is
     a group of its own.
     """
     available = _measures()
-    return loans.groupBy("customer_id").agg(*(available[name].alias(name) for name in names))
+    return loans.groupBy("customer_id").agg(
+        *(available[name].alias(name) for name in names),
+        *(aggregate.alias(name) for name, aggregate in more.items()),
+    )

@@ -147,13 +147,15 @@ def test_no_repeat_customers_means_no_migration(make_loans):
     assert c.risk_migration(make_loans({})).collect() == []
 
 
-def test_affinity(make_loans):
+@pytest.mark.parametrize("gather_sets", [False, True])
+def test_affinity(make_loans, gather_sets):
     rows = c.product_affinity(
         make_loans(
             *loans_of(1, {"product_type": "SME"}, {"product_type": "POS"}, {"product_type": "SME"}),
             *loans_of(2, {"product_type": "POS"}, {"product_type": "SME"}),
             *loans_of(3, {"product_type": None}),
-        )
+        ),
+        gather_sets,
     ).collect()
     assert [(r["product_combination"], r["number_of_products"], r["customer_count"]) for r in rows] == [
         ("POS, SME", 2, 2),
@@ -161,6 +163,16 @@ def test_affinity(make_loans):
     ]
 
 
+def test_affinity_of_64_products_and_of_more(make_loans):
+    names = [f"product {i:02}" for i in range(65)]
+    widest = make_loans(*loans_of(1, *({"product_type": p} for p in names[:64])), *loans_of(2, {"product_type": names[63]}))
+    assert c.product_affinity(widest).collect() == c.product_affinity(widest, gather_sets=True).collect()
+    wider = make_loans(*loans_of(1, *({"product_type": p} for p in names)))
+    assert c.product_affinity(wider, gather_sets=True).first()["number_of_products"] == 65
+    with pytest.raises(Exception, match="more than 64 distinct values"):
+        c.product_affinity(wider).collect()
+
+
 def test_channels(make_loans):
     rows = by(
         "acquisition_channel",
