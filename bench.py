@@ -1,5 +1,9 @@
 """Time the headline queries; prints one JSON line.
 
+The test data has no loan table. It is derived and stored once, as the views expect to
+find it; `load_loans` reports that step and the total includes it. Then each query reads
+the stored table and is timed twice, the better time counting.
+
 BENCH_SF_DIR names the test data (default /root/testdata/sf0.1), BENCH_CPUS the cores.
 """
 
@@ -7,12 +11,13 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lendscope.plans.catalog import HEADLINE
-from lendscope.sources.loans import load_loans
+from lendscope.sources.loans import load_loans, read_loans
 
 
 def session(cpus: str) -> SparkSession:
@@ -38,12 +43,17 @@ def seconds(df: DataFrame) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = session(os.environ.get("BENCH_CPUS", "8"))
-    seconds(HEADLINE["customer_segmentation"](load_loans(spark, sf_dir)))  # warm the JVM up
-    timings = {
-        name: round(min(seconds(query(load_loans(spark, sf_dir))) for _ in range(2)), 3)
-        for name, query in HEADLINE.items()
-    }
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = session(cpus)
+    with tempfile.TemporaryDirectory(prefix="lendscope-bench-") as scratch:
+        path = os.path.join(scratch, "loans")
+        seconds(HEADLINE["customer_segmentation"](load_loans(spark, sf_dir)))  # warm the JVM up
+        start = time.perf_counter()
+        load_loans(spark, sf_dir).repartition(int(cpus)).write.parquet(path)
+        timings = {"load_loans": round(time.perf_counter() - start, 3)}
+        for name, query in HEADLINE.items():
+            best = min(seconds(query(read_loans(spark, path))) for _ in range(2))
+            timings[name] = round(best, 3)
     report = {
         "metric": "headline_queries_total",
         "value": round(sum(timings.values()), 3),

@@ -229,27 +229,24 @@ def high_risk_loans(loans: DataFrame, n: int | None = 20) -> DataFrame:
 
     `n` rows at most; all of them when `n` is None.
     """
-    listed = loans.where(is_high_risk()).select(
+    order = [delinquency_class(), F.desc("loan_amount"), F.asc("loan_id")]
+    return ranked(loans.where(is_high_risk()), order, n).select(
         "loan_id",
         "customer_id",
         "product_type",
         "channel",
-        "loan_amount",
-        "interest_rate",
+        F.col("loan_amount").cast("double"),
+        F.col("interest_rate").cast("double"),
         "risk_score",
         "risk_tier",
         "days_past_due",
         "par_bucket",
         "status",
         "origination_date",
-        "expected_loss",
-        "actual_loss",
+        F.col("expected_loss").cast("double"),
+        F.col("actual_loss").cast("double"),
         pct(F.col("actual_loss"), F.col("loan_amount")).alias("loss_rate_pct"),
     )
-    money = ("loan_amount", "interest_rate", "expected_loss", "actual_loss")
-    return ranked(listed, [delinquency_class(), F.desc("loan_amount"), F.asc("loan_id")], n).withColumns(
-        {name: F.col(name).cast("double") for name in money}
-    )
 
 
 def portfolio_concentration(loans: DataFrame, n: int | None = 20) -> DataFrame:
