@@ -6,7 +6,7 @@ Aggregates need none of this, because they combine on the map side. Windows and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
@@ -36,10 +36,20 @@ def hot_customers(loans: DataFrame, hot_rows: int) -> DataFrame:
     )
 
 
+def _hot_match(loans: DataFrame, hot_rows: int) -> tuple[DataFrame, Column]:
+    """The broadcast list of hot customers, and the condition that joins it.
+
+    The condition names every column of the list, always true, so that no join prunes
+    one and all of them share a single count of loans per customer.
+    """
+    sliced = (F.col("slices") > 0) & (F.col("id_span") > 0)
+    same = F.col("customer_id").eqNullSafe(F.col("hot_id")) & sliced
+    return F.broadcast(hot_customers(loans, hot_rows)), same
+
+
 def split_hot(loans: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """The loans of ordinary customers, and those of hot ones with their slicing."""
-    hot = F.broadcast(hot_customers(loans, hot_rows))
-    same = F.col("customer_id").eqNullSafe(F.col("hot_id"))
+    hot, same = _hot_match(loans, hot_rows)
     return loans.join(hot, same, "left_anti"), loans.join(hot, same)
 
 
@@ -49,11 +59,11 @@ def join_customers(loans: DataFrame, per_customer: DataFrame, hot_rows: int = HO
     Ordinary customers join as Spark sees fit. Those with more than `hot_rows` loans are
     few, so their rows of `per_customer` are broadcast and their loans stay where they are.
     """
-    ordinary, hot = split_hot(loans, hot_rows)
-    hot_ids = F.broadcast(hot_customers(loans, hot_rows))
-    few = per_customer.join(hot_ids, F.col("customer_id") == F.col("hot_id"), "left_semi")
+    hot, same = _hot_match(loans, hot_rows)
+    few = per_customer.join(hot, same, "left_semi")
+    ordinary, of_hot = loans.join(hot, same, "left_anti"), loans.join(hot, same, "left_semi")
     return ordinary.join(per_customer, "customer_id").unionByName(
-        hot.drop("hot_id", "slices", "id_from", "id_span").join(F.broadcast(few), "customer_id")
+        of_hot.join(F.broadcast(few), "customer_id")
     )
 
 
@@ -133,7 +143,7 @@ def _numbered_in_slices(hot: DataFrame) -> DataFrame:
     ).drop(*(f"{name}_" for name in piece), "slice", "before", "last_before")
 
 
-def _null_safe(names: list[str]):
+def _null_safe(names: list[str]) -> Column:
     first, *rest = [F.col(name).eqNullSafe(F.col(f"{name}_")) for name in names]
     for condition in rest:
         first = first & condition
@@ -147,14 +157,16 @@ def with_previous_count(counts: DataFrame, ordinal: str, count: str, alias: str)
     `lag` over an unpartitioned window would do the same in a single task, and there can
     be as many ordinals as the largest customer has loans.
     """
-    rest = [name for name in counts.columns if name != ordinal]
+    here = F.col("ahead") == 0
+    own = [name for name in counts.columns if name != ordinal]
     return (
         counts.withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
         .groupBy((F.col(ordinal) + F.col("ahead")).alias(ordinal))
         .agg(
-            F.max(F.when(F.col("ahead") == 0, F.struct(*rest))).alias("own"),
-            F.max(F.when(F.col("ahead") == 1, F.col(count))).alias(alias),
+            *(F.max(F.when(here, F.col(name))).alias(name) for name in own),
+            F.max(F.when(~here, F.col(count))).alias(alias),
+            F.min("ahead").alias("nearest"),
         )
-        .where("own is not null")
-        .select(ordinal, "own.*", alias)
+        .where("nearest = 0")
+        .drop("nearest")
     )
