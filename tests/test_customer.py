@@ -348,3 +348,20 @@ def test_age_counts_to_today_by_default(spark, make_loans):
         F.datediff(F.current_date(), F.col("origination_date")).alias("want"),
     ).first()
     assert row["age"] == row["want"]
+
+
+def test_coded_first_channel_equals_the_least_struct(make_loans):
+    loans = make_loans(
+        *[
+            {"customer_id": 1, "loan_id": i, "channel": channel, "origination_date": day}
+            for i, channel, day in [(3, "B", "2024-01-01"), (-5, "A", "2024-01-01"), (2**62, "C", "2023-01-01")]
+        ],
+        {"customer_id": 2, "loan_id": 9, "channel": "A", "origination_date": "0001-01-01"},
+        {"customer_id": 2, "loan_id": 10, "channel": "C", "origination_date": None},
+        {"customer_id": 3, "loan_id": -(2**62), "channel": "C", "origination_date": "9999-12-31"},
+        {"customer_id": 3, "loan_id": -(2**62) - 1, "channel": "B", "origination_date": "9999-12-31"},
+    )
+    plain = {k: v["first_channel"] for k, v in by("customer_id", customer_metrics(loans, "first_channel")).items()}
+    assert plain == {1: "C", 2: "C", 3: "B"}
+    coded = by("acquisition_channel", c.channel_acquisition(loans, TODAY))
+    assert {k: v["customers_acquired"] for k, v in coded.items()} == {"C": 2, "B": 1}
