@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from lendscope.llm.packing import op9_packing
 from lendscope.llm.quality_rules import op8_quality_rules
+from lendscope.llm.secret_scan import op7_secret_scan
 from lendscope.llm.sharding import op5_sharding
+from lendscope.llm.toxicity import op3_toxicity
 from lendscope.llm.url_filter import OP2_SQL, op2_url_filter
+from lendscope.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op5_sharding": op5_sharding,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE = {
     "op2_url_filter": OP2_SQL,
+    "op10_warc": OP10_SQL,
 }

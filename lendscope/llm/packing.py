@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ class Tokenizer:
         runs = pa.LargeStringArray.from_buffers(
             len(words.start), pa.py_buffer(stops), pa.py_buffer(words.text)
         )
-        coded = pa.compute.dictionary_encode(runs)
+        coded = pc.dictionary_encode(runs)
         ids, begin = self.words(coded.dictionary.to_pylist())
         code = np.asarray(coded.indices).astype(np.int64)
         sizes = np.diff(begin)[code]

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
@@ -35,7 +36,7 @@ class Words(NamedTuple):
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of rows with at most `limit` bytes of text each, or one row."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     a = 0
     while a < len(sizes):
@@ -47,7 +48,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and the bounds of its texts; null counts as empty."""
-    texts = pa.compute.fill_null(column, "").cast(pa.large_string())
+    texts = pc.fill_null(column, "").cast(pa.large_string())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
