@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from lendscope.llm.decontamination import op6_decontamination
+from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from lendscope.llm.packing import op9_packing
 from lendscope.llm.quality_rules import op8_quality_rules
 from lendscope.llm.secret_scan import op7_secret_scan
 from lendscope.llm.sharding import op5_sharding
+from lendscope.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from lendscope.llm.toxicity import op3_toxicity
 from lendscope.llm.url_filter import OP2_SQL, op2_url_filter
 from lendscope.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
@@ -21,6 +27,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_substring_dedup": OP1_SQL,
     "op2_url_filter": OP2_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op10_warc": OP10_SQL,
 }
