@@ -31,8 +31,9 @@ END = 1
 DIMENSIONS = 4
 BITS = 15
 BUCKETS = 1 << 14
-RANGE_BYTES = 64 << 20
-CACHED_WORDS = 400_000
+RANGE_BYTES = 16 << 20
+CACHED_WORDS = 1_000_000
+SLICE_BYTES = 2 << 20
 
 TOKENS = "doc_id long, key long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -75,58 +76,103 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def pieces(text: np.ndarray, bounds: np.ndarray) -> W.Words:
+    """Parts of words that are tokenised alike alone and in their text: words in lower case,
+    cut between ASCII letters or digits and punctuation (but for apostrophes, which may begin
+    a token with letters). Where a text may spell a special token, words stay as they are."""
+    if b"<|" in text.tobytes():
+        return W.split(text, bounds)
+    text = W.lowered(text)
+    plain = (text >= 0x30) & (text <= 0x39) | (text >= 0x61) & (text <= 0x7A)
+    mark = (text > 0x20) & (text < 0x7F) & ~plain & (text != 0x27)
+    cuts = np.zeros(len(text), bool)
+    cuts[1:] = plain[:-1] & mark[1:] | mark[:-1] & plain[1:]
+    return W.split(text, bounds, cuts)
+
+
 class Tokenizer:
-    """Token ids of texts, word by word: white space never is part of a token, so the ids of a
-    text are those of its words in turn. Ids of words seen before are looked up; the memory of
-    words starts anew when it has CACHED_WORDS."""
+    """Token ids of texts by their pieces. Ids of pieces met before are looked up by hash; the
+    memory starts anew when it has CACHED_WORDS.
+
+    New pieces of letters only are tokenised many at once: each ends with the first token
+    that ends a word."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer as Public
 
         self.public = Public.from_file(file)
+        vocabulary = self.public.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
-
-    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, end to end, and where each word's begin."""
-        if len(self.known) > CACHED_WORDS:
-            self.forget()
-        new = [w for w in distinct if w not in self.known]
-        for word, encoding in zip(
-            new, self.public.encode_batch_fast(new, add_special_tokens=False), strict=True
-        ):
-            self.known[word] = len(self.ids)
-            self.ids.append(np.array(encoding.ids, np.uint32))
-        ids = [self.ids[self.known[w]] for w in distinct]
-        begin = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum([len(i) for i in ids], out=begin[1:])
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), begin
+        self.known = np.zeros(0, np.uint64)  # sorted
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, end to end, and how many each has."""
+        ids = [e.ids for e in self.public.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter((i for own in ids for i in own), np.uint32)
+        return flat, np.fromiter((len(own) for own in ids), np.int64, len(ids))
+
+    def together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.public.encode(" ".join(texts), add_special_tokens=False).ids, np.uint32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(texts) or stops[-1] != len(ids):
+            return self.one_by_one(texts)
+        return ids, np.diff(stops, prepend=0)
+
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        letters = np.fromiter((text.isalpha() for text in texts), bool, len(texts))
+        order = np.argsort(~letters, kind="stable")
+        many = int(letters.sum())
+        parts = [
+            self.together([texts[i] for i in order[a : min(a + 4096, many)]])
+            for a in range(0, many, 4096)
+        ]
+        if many < len(texts):
+            parts.append(self.one_by_one([texts[i] for i in order[many:]]))
+        size = np.concatenate([s for _, s in parts])
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
+        known = np.concatenate([self.known, hashes[order]])
+        sort = np.argsort(known)
+        self.known = known[sort]
+        self.begin = np.concatenate([self.begin, begin])[sort]
+        self.size = np.concatenate([self.size, size])[sort]
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where distinct hashes are among the known ones; -1 where they are not."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at, -1)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a column of texts, end to end with END after each, and the bounds."""
-        words = W.split(*W.raw(column))
-        stops = np.append(words.start, len(words.text)).astype(np.int64)
-        # A word runs up to the next one here; the white space after it is no token.
-        runs = pa.LargeStringArray.from_buffers(
-            len(words.start), pa.py_buffer(stops), pa.py_buffer(words.text)
-        )
-        coded = pc.dictionary_encode(runs)
-        ids, begin = self.words(coded.dictionary.to_pylist())
-        code = np.asarray(coded.indices).astype(np.int64)
-        sizes = np.diff(begin)[code]
-        counts = np.zeros(len(column) + 1, np.int64)
+        words = pieces(*W.raw(column))
+        distinct, where, code = np.unique(W.hashes(words), return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > CACHED_WORDS:
+            self.forget()
+        new = np.flatnonzero(self.places(distinct) < 0)
+        if len(new):
+            one = W.Words(
+                words.text, None, words.start[where[new]], words.end[where[new]], np.array([0, len(new)])
+            )
+            joined, _ = W.joined(one)
+            self.learn(distinct[new], joined.tobytes().decode().split(" "))
+        at = self.places(distinct)
+        sizes, begin = self.size[at][code], self.begin[at][code]
         total = np.zeros(len(code) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
-        counts[1:] = total[words.first[1:]]
-        bounds = counts + np.arange(len(counts))
+        bounds = total[words.first] + np.arange(len(words.first))
         out = np.full(int(bounds[-1]), END, np.uint32)
         place = np.arange(int(total[-1]))
-        source = place + np.repeat(begin[code] - total[:-1], sizes)
+        source = place + np.repeat(begin - total[:-1], sizes)
         target = place + np.repeat(W.owners(words), sizes)
-        out[target] = ids[source]
+        out[target] = self.ids[source]
         return out, bounds
 
 
@@ -136,7 +182,7 @@ def _tokens(file: str, width: np.dtype):
         of_id = plane[bucket(np.arange(1 << 16))]
         for batch in batches:
             text = batch.column("text")
-            for a, b in W.slices(text):
+            for a, b in W.slices(text, SLICE_BYTES):
                 ids, bounds = tokenizer.texts(text.slice(a, b - a))
                 sizes = np.diff(bounds)
                 # END makes every document have a token, as reduceat needs.
@@ -255,11 +301,18 @@ def pack_documents(
     )
 
 
-def op9_packing(spark, sf_dir: str) -> DataFrame:
+def packed_digest(docs: DataFrame, **options) -> DataFrame:
+    """Pieces of `docs` (doc_id, text) under the public word-level vocabulary, with ids and
+    their checksum."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), range_bytes=16 << 20)
+    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), **options)
     return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+        "offset", "ids",
+    )
+
+
+def op9_packing(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packed_digest(docs).drop("ids")

@@ -208,24 +208,6 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answered(bucket, asked)
 
 
-def kept_words(words: W.Words, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts of the words not removed, joined by one space, and their bounds."""
-    keep = ~removed
-    start, end = words.start[keep], words.end[keep]
-    owner = W.owners(words)[keep]
-    size = end - start
-    more = np.zeros(len(start), bool)  # another word of the same text follows
-    more[:-1] = owner[1:] == owner[:-1]
-    stop = np.cumsum(size + more)
-    text = np.full(int(stop[-1]) if len(stop) else 0, 0x20, np.uint8)
-    begin = stop - size - more
-    place = np.arange(int(size.sum()))
-    shift = np.cumsum(size) - size
-    text[place + np.repeat(begin - shift, size)] = words.text[place + np.repeat(start - shift, size)]
-    counts = np.bincount(owner, size + more, len(words.first) - 1)
-    return text, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-
 def _apply(sent, buckets: int, window: int, run: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +224,7 @@ def _apply(sent, buckets: int, window: int, run: int):
                 total = len(chunk.words.start)
                 ends = np.bincount(gone, minlength=total + 1) - np.bincount(gone + window, minlength=total + 1)
                 removed = np.cumsum(ends)[:total] > 0
-                text, bounds = kept_words(chunk.words, removed)
+                text, bounds = W.joined(chunk.words, ~removed)
                 n_removed = np.concatenate([[0], np.cumsum(removed)])[chunk.words.first]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -60,11 +60,15 @@ def lowered(text: np.ndarray) -> np.ndarray:
     return np.where((text >= 0x41) & (text <= 0x5A), text | 0x20, text)
 
 
-def split(text: np.ndarray, bounds: np.ndarray) -> Words:
+def split(text: np.ndarray, bounds: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """`cuts` tells bytes at which a word begins whatever precedes."""
     inside = ~_SEPARATES[text]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
+    if cuts is not None:
+        starts |= inside & cuts
+        ends[:-1] |= inside[:-1] & cuts[1:]
     edges = bounds[1:-1]
     edges = edges[(edges > 0) & (edges < len(text))]
     starts[edges] |= inside[edges]
@@ -126,3 +130,20 @@ def whole(words: Words, size: int) -> np.ndarray:
 def owners(words: Words) -> np.ndarray:
     """The text of each word."""
     return np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+
+
+def joined(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of all words, or those to keep, joined by one space, and their bounds."""
+    start, end, owner = words.start, words.end, owners(words)
+    if keep is not None:
+        start, end, owner = start[keep], end[keep], owner[keep]
+    size = end - start
+    more = np.zeros(len(start), bool)  # another word of the same text follows
+    more[:-1] = owner[1:] == owner[:-1]
+    begin = np.cumsum(size + more) - size - more
+    counts = np.bincount(owner, size + more, len(words.first) - 1).astype(np.int64)
+    text = np.full(int(counts.sum()), 0x20, np.uint8)
+    place = np.arange(int(size.sum()))
+    shift = np.cumsum(size) - size
+    text[place + np.repeat(begin - shift, size)] = words.text[place + np.repeat(start - shift, size)]
+    return text, np.concatenate([[0], np.cumsum(counts)])
