@@ -176,6 +176,17 @@ class Items(NamedTuple):
     maybe: np.ndarray
 
 
+def _sent(spark, items: Items):
+    """Broadcast a block as plain tuples and arrays, which need no class of this library."""
+    schemes = [(tuple(plan.sizes), *plan[1:]) for plan in items.schemes]
+    return spark.sparkContext.broadcast(tuple(items._replace(schemes=schemes)))
+
+
+def _received(value: tuple) -> Items:
+    items = Items(*value)
+    return items._replace(schemes=[Scheme(Sizes(*plan[0]), *plan[1:]) for plan in items.schemes])
+
+
 def _low(key: np.ndarray) -> np.ndarray:
     return (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
@@ -301,14 +312,15 @@ def find_passages(
     )
     out = spark.createDataFrame([], MATCHES)
     for block in item_blocks(items):
-        sent = spark.sparkContext.broadcast(block)
+        sent = _sent(spark, block)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = _received(sent.value)
             schema = pa.schema([(f.split()[0], pa.int64()) for f in MATCHES.split(", ")])
             for batch in batches:
-                found = list(passages(batch.column("text"), sent.value, max_edit))
+                found = list(passages(batch.column("text"), items, max_edit))
                 ids = batch.column("doc_id").to_pylist()
-                rows = [(ids[i], sent.value.ids[k], *rest) for i, k, *rest in found]
+                rows = [(ids[i], items.ids[k], *rest) for i, k, *rest in found]
                 columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in columns], schema=schema
@@ -324,12 +336,13 @@ def clean_documents(
     """`docs` less those in which an item is found."""
     spark = docs.sparkSession
     for block in item_blocks(items):
-        sent = spark.sparkContext.broadcast(block)
+        sent = _sent(spark, block)
 
         def drop(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = _received(sent.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for i, *_ in passages(batch.column(text_col), sent.value, max_edit):
+                for i, *_ in passages(batch.column(text_col), items, max_edit):
                     keep[i] = False
                 yield batch.filter(pa.array(keep))
 
