@@ -200,7 +200,12 @@ def kept_documents(docs: DataFrame, text: str = "text", rules: Sequence[Rule] =
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
         F.col(f"`{text}`").alias("text"),
     )
-    kept = judged(packed, "text", rules).filter("kept")
+    # A filter on what built-in functions made would be pushed below them, and have each
+    # measure written out again for every use. It stays above a projection with row numbers.
+    verdicts = judged(packed, "text", rules).select(
+        "document", "kept", F.monotonically_increasing_id().alias("place")
+    )
+    kept = verdicts.filter(F.col("kept") & (F.col("place") >= 0))
     return kept.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])
 
 
