@@ -5,8 +5,8 @@ from __future__ import annotations
 from lendscope.llm.decontamination import op6_decontamination
 from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from lendscope.llm.packing import op9_packing
-from lendscope.llm.quality_rules import op8_quality_rules
-from lendscope.llm.secret_scan import op7_secret_scan
+from lendscope.llm.quality_rules import OP8_SQL, op8_quality_rules
+from lendscope.llm.secret_scan import OP7_SQL, op7_secret_scan
 from lendscope.llm.sharding import op5_sharding
 from lendscope.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from lendscope.llm.toxicity import op3_toxicity
@@ -30,5 +30,7 @@ ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op2_url_filter": OP2_SQL,
     "op4_jaccard_join": OP4_SQL,
+    "op7_secret_scan": OP7_SQL,
+    "op8_quality_rules": OP8_SQL,
     "op10_warc": OP10_SQL,
 }

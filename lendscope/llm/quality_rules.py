@@ -213,5 +213,44 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judged(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "n_stop_words", "failed",
+        "base_failed", "kept", "n_stop_words", F.array_join("failed", ",").alias("failed"),
     )
+
+
+def _sql_test(rule: Rule) -> str:
+    scale = f"{rule.per}::double" if rule.per else "1.0::double"
+    low = f"{rule.measure} < {scale} * {rule.low}::double" if rule.low is not None else "false"
+    high = f"{rule.measure} > {scale} * {rule.high}::double" if rule.high is not None else "false"
+    return f"({low} or {high})"
+
+
+OP8_SQL = f"""
+with t as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), w as (
+  select *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from t
+), g as (
+  select r, i, count(*) over (partition by r, gram) as n
+  from (select r, unnest(range(1, len(words) - 1)) as i, unnest(list_transform(range(1, len(words) - 1),
+    lambda k: array_to_string(words[k:k + 2], ' '))) as gram from w)
+), c as (
+  select r, count(distinct i + j) as n from g, (values (0), (1), (2)) as o(j) where n > 1 group by r
+), m as (
+  select doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(c.n, 0)::bigint as n_repeat_words,
+    len(list_filter(words, lambda x: lower(x) in ({", ".join(f"'{w}'" for w in STOP_WORDS)})))::bigint as n_stop_words
+  from w left join c using (r)
+), f as (
+  select *, {" or ".join(_sql_test(r) for r in BASE_RULES)} as base_failed,
+    array_to_string(list_filter([{", ".join(f"case when {_sql_test(r)} then '{r.name}' end" for r in (*BASE_RULES, *RULES))}],
+      lambda x: x is not null), ',') as failed
+  from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(failed, '') = '' as kept, n_stop_words, coalesce(failed, '') as failed
+from f
+"""

@@ -270,3 +270,50 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
     )
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+OP7_SQL = f"""
+with t as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), p as (
+  select r, 'assign' as kind, 0 as k, regexp_extract_all(text, {_quoted(ASSIGN)}) as m, regexp_split_to_array(text, {_quoted(ASSIGN)}) as g from t
+  union all select r, 'access', 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_split_to_array(text, 'AKIA[A-Z0-9]+') from t
+  union all select r, 'hex', 2, regexp_extract_all(text, '[0-9a-f]+'), regexp_split_to_array(text, '[0-9a-f]+') from t
+    where regexp_matches(text, '[0-9a-f]{{24}}')
+  union all select r, 'token', 3, regexp_extract_all(text, '[A-Za-z0-9+/=_-]+'), regexp_split_to_array(text, '[A-Za-z0-9+/=_-]+') from t
+    where contains(text, 'AKIA')
+  union all select r, 'address', 4, regexp_extract_all(text, {_quoted(ADDRESS)}), regexp_split_to_array(text, {_quoted(ADDRESS)}) from t
+    where contains(text, '://')
+), u as (
+  select r, kind, k, unnest(m) as m, unnest(g[1:len(m)]) as g, unnest(range(len(m))) as i from p
+), s as (
+  select r, kind, k, m, sum(length(m) + length(g)) over (partition by r, k order by i) as "end" from u
+), q as (
+  select r, kind, k, "end" - length(m) as start, "end" from s
+  where case kind when 'assign' then length(regexp_extract(m, {_quoted(ASSIGN)}, 2)) >= 6
+    when 'access' then length(m) >= 20 when 'hex' then length(m) >= 24
+    when 'token' then regexp_full_match(m, '[A-Za-z0-9+/]{{40}}') else true end
+), b as (
+  select * from q where k < 3
+), a as (
+  select * from b
+  union all
+  select q.* from q where k >= 3
+    and not exists (select 1 from b where b.r = q.r and b.start < q."end" and q.start < b."end")
+    and exists (select 1 from b where b.r = q.r and (b.kind = 'access' or q.kind = 'address' and b.kind = 'assign')
+      and (b.start between q."end" and q."end" + {SCOPE} or b."end" between q.start - {SCOPE} and q.start))
+), l as (
+  select r, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access,
+    count(*) filter (where k = 2) as n_hex,
+    string_agg(kind || ':' || start || ':' || "end", ',' order by start, k) filter (where k < 3) as base,
+    string_agg(kind || ':' || start || ':' || "end", ',' order by start, k) as spans
+  from a group by r
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+  coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join l using (r)
+"""
