@@ -32,15 +32,21 @@ def loans() -> Column:
     return F.count(F.lit(1))
 
 
-def _hundredths(name: str) -> Column:
-    """A two-decimal column in hundredths, as a long.
+def _fits(name: str) -> Column:
+    """Whether a value has at most two decimals and a size that hundredths in a long hold."""
+    value = F.col(name)
+    return (value == F.round(value, 2)) & (F.abs(value) < 10**16)
 
-    The double is exact enough below 10^13; larger values take the decimal way.
-    """
+
+def _hundredths(name: str) -> Column:
+    """A value that `_fits` in hundredths, as a long; the double is exact below 10^13."""
     value = F.col(name)
     as_double = value.cast("double")
     small = F.rint(as_double * 100).cast("long")
-    return F.when(F.abs(as_double) < 1e13, small).otherwise((value * 100).cast("long"))
+    return F.when(
+        _fits(name),
+        F.when(F.abs(as_double) < 1e13, small).otherwise((value * 100).cast("long")),
+    )
 
 
 def _exact_sum(units: Column, scale: int) -> Column:
@@ -56,9 +62,22 @@ def _exact_sum(units: Column, scale: int) -> Column:
     return whole * F.lit(Decimal(1).scaleb(-scale))
 
 
+def _total(units: Column, scale: int, rest: Column) -> Column:
+    """Sum of `units` as longs, and of `rest`, a decimal for rows without units, by Spark's
+    own decimal sum. NULL where there is neither."""
+    longs, wide = _exact_sum(units, scale), F.sum(rest)
+    zero = F.lit(Decimal(0))
+    return F.when(longs.isNull(), wide).otherwise(longs + F.coalesce(wide, zero))
+
+
+def _wide(name: str) -> Column:
+    """A value for the decimal sum: up to six decimals, exact."""
+    return F.when(~_fits(name), F.col(name).cast("decimal(26,6)"))
+
+
 def money(name: str) -> Column:
-    """Exact sum of a two-decimal column."""
-    return _exact_sum(_hundredths(name), 2)
+    """Exact sum of an amount."""
+    return _total(_hundredths(name), 2, _wide(name))
 
 
 def amount() -> Column:
@@ -66,7 +85,11 @@ def amount() -> Column:
 
 
 def amount_where(condition: Column) -> Column:
-    return _exact_sum(F.when(condition, _hundredths("loan_amount")).otherwise(0), 2)
+    return _total(
+        F.when(condition, _hundredths("loan_amount")).otherwise(0),
+        2,
+        F.when(condition, _wide("loan_amount")),
+    )
 
 
 def loss() -> Column:
@@ -78,8 +101,16 @@ def expected_loss() -> Column:
 
 
 def income() -> Column:
-    """One year of simple interest: amount times rate, which is in percent."""
-    return _exact_sum(_hundredths("loan_amount") * _hundredths("interest_rate"), 6)
+    """One year of simple interest: amount times rate, which is in percent.
+
+    Products that a long does not hold, and finer decimals, take the decimal sum.
+    """
+    units = F.try_multiply(_hundredths("loan_amount"), _hundredths("interest_rate"))
+    amount_, rate = F.col("loan_amount").cast("decimal(22,6)"), F.col("interest_rate").cast("decimal(11,6)")
+    rest = F.when(units.isNull(), amount_ * rate)
+    percent = F.lit(Decimal("0.01"))
+    longs, wide = _exact_sum(units, 6), F.sum(rest) * percent
+    return F.when(longs.isNull(), wide).otherwise(longs + F.coalesce(wide, F.lit(Decimal(0))))
 
 
 def net_profit() -> Column:

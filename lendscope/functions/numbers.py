@@ -37,14 +37,14 @@ def label(cases: Sequence[tuple[Column, object]], default: object = None) -> Col
 
 def band(value: Column, edges: Sequence[int]) -> Column:
     """Name the half-open band that `value` falls in; NULL counts as the top band."""
-    low, *_, top = edges
+    low, top = edges[0], edges[-1]
     inner = [(value < hi, f"{lo}-{hi - 1}") for lo, hi in zip(edges, edges[1:])]
     return label([(value < low, f"< {low}"), *inner], f"{top}+")
 
 
 def band_names(edges: Sequence[int]) -> list[str]:
     """The names `band` gives, in ascending order."""
-    low, *_, top = edges
+    low, top = edges[0], edges[-1]
     return [f"< {low}", *(f"{lo}-{hi - 1}" for lo, hi in zip(edges, edges[1:])), f"{top}+"]
 
 

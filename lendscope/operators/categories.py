@@ -1,49 +1,25 @@
-"""Text categories as small numbers, for aggregates at customer grain.
+"""The order of a customer's loans as a number, for aggregates at customer grain.
 
-Spark can hash-aggregate fixed-width buffers only; a set, a string or a struct makes it
-sort the loans by customer first. With a code in place of the text, the set of products
-becomes a bit mask and the first channel a number, and the sort goes away.
+Spark can hash-aggregate fixed-width buffers only; a minimum of a struct makes it sort the
+loans by customer first. A date and a loan id side by side in one decimal do not.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lendscope.functions import measures as m
-
-MASK_BITS = 64
 _BEFORE_ALL_DATES = -10_000_000
 
 
-def dictionary(loans: DataFrame, name: str) -> Column:
-    """Sorted distinct values of a column, as a scalar subquery over that column alone."""
-    return loans.agg(m.distinct_values(name)).scalar()
-
-
-def code(name: str, values: Column) -> Column:
-    """Position of a value in its dictionary, counted from 1; NULL for NULL."""
-    return F.array_position(values, F.col(name))
-
-
-def mask(codes: str) -> Column:
-    """Aggregate: the set of codes as bits. Raises beyond `MASK_BITS` codes."""
-    bit = F.expr(f"shiftleft(1L, cast({codes} - 1 as int))")
-    too_many = F.raise_error(F.lit(f"more than {MASK_BITS} distinct values; gather them as sets"))
-    bits = F.bit_or(F.when(F.col(codes) > MASK_BITS, too_many).otherwise(bit))
-    return F.coalesce(bits, F.lit(0).cast("long"))
-
-
-def unmask(bits: Column, values: Column) -> Column:
-    """The values whose bits are set, in order."""
-    return F.filter(values, lambda _, i: F.getbit(bits, i) == 1)
+def place() -> Column:
+    """Sorts like (origination_date, loan_id), NULL dates first; 20 digits hold any long."""
+    day = F.coalesce(F.unix_date("origination_date"), F.lit(_BEFORE_ALL_DATES))
+    return day.cast("decimal(8,0)") * F.lit(Decimal(10) ** 20) + F.col("loan_id")
 
 
-def first_code(codes: str) -> Column:
-    """Aggregate: the code of the earliest loan by date, NULL dates first, and loan id."""
-    day = F.coalesce(F.unix_date("origination_date"), F.lit(_BEFORE_ALL_DATES))
-    # A date and a loan id side by side in one decimal: 20 digits hold any long.
-    place = day.cast("decimal(8,0)") * F.lit(Decimal(10) ** 20) + F.col("loan_id")
-    return F.min_by(codes, place)
+def first_place() -> Column:
+    """Aggregate: the place of the earliest loan."""
+    return F.min(place())

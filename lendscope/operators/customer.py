@@ -242,58 +242,71 @@ def risk_migration(loans: DataFrame) -> DataFrame:
     )
 
 
-def product_affinity(loans: DataFrame, gather_sets: bool = False) -> DataFrame:
-    """Customers, value and margin of each combination of products held.
+_TEXT_PARTS = {
+    "total_loans": (m.loans, F.sum),
+    "total_borrowed": (m.amount, F.sum),
+    "total_revenue": (m.income, F.sum),
+    "total_loss": (m.loss, F.sum),
+    "first_loan_date": (lambda: F.min("origination_date"), F.min),
+}
+_TEXT_MEANS = ("interest_rate", "risk_score", "days_past_due")
+
+
+def _over_text(loans: DataFrame, text: str, **more: Column) -> DataFrame:
+    """One row per customer, by way of one row per customer and value of a text column.
 
-    Combinations are bit masks while customers are aggregated. A book with more than 64
-    products is refused; `gather_sets` handles any number, in about twice the time.
+    Loans are aggregated by both, with buffers of fixed width; sets and picks of the text
+    then handle a few rows per customer instead of all loans, and any number of values.
+    `more` are aggregates over `place` (the first loan with a value: its date and id) and
+    the text.
     """
-    names = (
+    parts = loans.groupBy("customer_id", text).agg(
+        *(make().alias(name) for name, (make, _) in _TEXT_PARTS.items()),
+        *(F.sum(name).alias(f"{name}_sum") for name in _TEXT_MEANS),
+        *(F.count(name).alias(f"{name}_count") for name in _TEXT_MEANS),
+        cat.first_place().alias("place"),
+    )
+    return parts.groupBy("customer_id").agg(
+        *(merge(name).alias(name) for name, (_, merge) in _TEXT_PARTS.items()),
+        *(
+            ratio(F.sum(f"{name}_sum"), F.sum(f"{name}_count")).alias(f"avg_{name}")
+            for name in _TEXT_MEANS
+        ),
+        *(aggregate.alias(name) for name, aggregate in more.items()),
+    )
+
+
+def product_affinity(loans: DataFrame) -> DataFrame:
+    """Customers, value and margin of each combination of products held."""
+    customers = _over_text(loans, "product_type", held=m.distinct_values("product_type"))
+    sets = customers.groupBy("held").agg(
+        m.loans().alias("customer_count"),
+        F.sum("total_loans").alias("total_loans"),
+        F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
+        round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
+        round_to(F.avg("avg_interest_rate"), 2).alias("avg_interest_rate"),
+        round_to(F.sum("total_revenue"), 2).alias("total_revenue"),
+        round_to(F.sum("total_loss"), 2).alias("total_loss"),
+        _margin().alias("net_margin_pct"),
+        round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
+    )
+    # There may be nearly as many sets as customers, so their total is an aggregate, not a
+    # window that takes all of them to one task.
+    everyone = sets.agg(F.sum("customer_count")).scalar()
+    return sets.select(
+        joined(F.col("held")).alias("product_combination"),
+        F.size("held").cast("long").alias("number_of_products"),
+        "customer_count",
+        pct(F.col("customer_count"), everyone).alias("pct_of_customers"),
         "total_loans",
-        "total_borrowed",
+        "total_portfolio_value",
+        "avg_customer_value",
         "avg_interest_rate",
         "total_revenue",
         "total_loss",
+        "net_margin_pct",
         "avg_days_past_due",
-    )
-    values = cat.dictionary(loans, "product_type")
-    if gather_sets:
-        customers = customer_metrics(loans, *names, held=m.distinct_values("product_type"))
-        products = F.col("held")
-    else:
-        coded = loans.withColumn("product_code", cat.code("product_type", values))
-        customers = customer_metrics(coded, *names, held=cat.mask("product_code"))
-        products = cat.unmask(F.col("held"), F.col("all_products"))
-    return (
-        customers.groupBy("held")
-        .agg(
-            m.loans().alias("customer_count"),
-            F.sum("total_loans").alias("total_loans"),
-            F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
-            round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
-            round_to(F.avg("avg_interest_rate"), 2).alias("avg_interest_rate"),
-            round_to(F.sum("total_revenue"), 2).alias("total_revenue"),
-            round_to(F.sum("total_loss"), 2).alias("total_loss"),
-            _margin().alias("net_margin_pct"),
-            round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
-        )
-        .withColumn("all_products", values)
-        .select(
-            joined(products).alias("product_combination"),
-            F.size(products).cast("long").alias("number_of_products"),
-            "customer_count",
-            m.share_of_rows("customer_count").alias("pct_of_customers"),
-            "total_loans",
-            "total_portfolio_value",
-            "avg_customer_value",
-            "avg_interest_rate",
-            "total_revenue",
-            "total_loss",
-            "net_margin_pct",
-            "avg_days_past_due",
-        )
-        .orderBy(F.desc("customer_count"), "product_combination")
-    )
+    ).orderBy(F.desc("customer_count"), "product_combination")
 
 
 def _margin() -> Column:
@@ -302,22 +315,13 @@ def _margin() -> Column:
 
 def channel_acquisition(loans: DataFrame, as_of: date | None = None) -> DataFrame:
     """Customers by the channel of their first loan, and what became of them."""
-    values = cat.dictionary(loans, "channel")
-    coded = loans.withColumn("channel_code", cat.code("channel", values))
-    customers = customer_metrics(
-        coded,
-        "total_loans",
-        "total_borrowed",
-        "avg_risk_score",
-        "total_revenue",
-        "total_loss",
-        "avg_days_past_due",
-        "first_loan_date",
-        first_channel=cat.first_code("channel_code"),
-        least_channel=F.min("channel_code"),
-        greatest_channel=F.max("channel_code"),
+    customers = _over_text(
+        loans,
+        "channel",
+        first_channel=F.min_by("channel", "place"),
+        channels=F.count("channel"),
     ).withColumn("age_days", m.days_since(F.col("first_loan_date"), as_of))
-    multi_channel = F.count_if(F.col("least_channel") < F.col("greatest_channel"))
+    multi_channel = F.count_if(F.col("channels") > 1)
     return (
         customers.groupBy("first_channel")
         .agg(
@@ -336,7 +340,7 @@ def channel_acquisition(loans: DataFrame, as_of: date | None = None) -> DataFram
             pct(multi_channel, m.loans()).alias("multi_channel_pct"),
         )
         .select(
-            F.element_at(values, F.col("first_channel").cast("int")).alias("acquisition_channel"),
+            F.col("first_channel").alias("acquisition_channel"),
             "customers_acquired",
             m.share_of_rows("customers_acquired").alias("pct_of_customers"),
             "total_loans",
@@ -523,25 +527,25 @@ def profitability_matrix(loans: DataFrame, risky_dpd: int = 15) -> DataFrame:
 def acquisition_cohorts(loans: DataFrame, as_of: date | None = None) -> DataFrame:
     """Customers by the month of their first loan, and how each cohort performs.
 
-    Loans without a customer belong to no cohort.
+    Loans without a customer belong to no cohort, and loans without an id are not counted.
     """
     customers = customer_metrics(
         loans.where("customer_id is not null"),
         "first_loan_date",
-        "total_loans",
         "total_borrowed",
         "avg_risk_score",
         "total_revenue",
         "total_loss",
         "avg_days_past_due",
         "loans_par_30",
+        counted_loans=F.count("loan_id"),
     ).withColumn("age_days", m.days_since(F.col("first_loan_date"), as_of))
     return (
         customers.groupBy(m.month_of(F.col("first_loan_date")).alias("cohort_month"))
         .agg(
             m.loans().alias("customers_acquired"),
-            F.sum("total_loans").alias("total_loans"),
-            round_to(F.avg("total_loans"), 2).alias("avg_loans_per_customer"),
+            F.sum("counted_loans").alias("total_loans"),
+            round_to(F.avg("counted_loans"), 2).alias("avg_loans_per_customer"),
             F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
             round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
             round_to(F.avg("avg_risk_score"), 0).alias("avg_risk_score"),
@@ -550,9 +554,9 @@ def acquisition_cohorts(loans: DataFrame, as_of: date | None = None) -> DataFram
             _margin().alias("net_margin_pct"),
             round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
             F.sum("loans_par_30").alias("total_loans_par_30"),
-            pct(F.sum("loans_par_30"), F.sum("total_loans")).alias("par_30_rate_pct"),
+            pct(F.sum("loans_par_30"), F.sum("counted_loans")).alias("par_30_rate_pct"),
             round_to(F.avg("age_days"), 0).alias("avg_cohort_age_days"),
-            pct(F.count_if(F.col("total_loans") > 1), m.loans()).alias("repeat_customer_pct"),
+            pct(F.count_if(F.col("counted_loans") > 1), m.loans()).alias("repeat_customer_pct"),
         )
         .orderBy("cohort_month")
     )

@@ -89,7 +89,7 @@ def _mix(col: str) -> str:
 CUSTOMERS = f"""
 customers as (
   select customer_id,
-         count(*) as n,
+         count(*) as n, count(loan_id) as n_ids,
          sum(loan_amount) as borrowed,
          {_mean("loan_amount")} as mean_amount,
          min(loan_amount) as min_amount, max(loan_amount) as max_amount,
@@ -381,16 +381,17 @@ def _channels() -> str:
 def _cohorts() -> str:
     columns = {
         **CUSTOMER_VALUE,
-        "avg_loans_per_customer": _round("avg(n)", 2),
+        "total_loans": _int("sum(n_ids)"),
+        "avg_loans_per_customer": _round("avg(n_ids)", 2),
         "avg_risk_score": _round("avg(mean_score)", 0),
         "total_revenue": _round("sum(income)", 2),
         "total_loss": _round("sum(lost)", 2),
         "net_margin_pct": MARGIN,
         "avg_days_past_due": MEAN_DPD,
         "total_loans_par_30": _int("sum(late)"),
-        "par_30_rate_pct": _pct("sum(late)", "sum(n)"),
+        "par_30_rate_pct": _pct("sum(late)", "sum(n_ids)"),
         "avg_cohort_age_days": _round(f"avg(date_diff('day', first_day, {AS_OF}))", 0),
-        "repeat_customer_pct": _pct("count(*) filter (where n > 1)", "count(*)"),
+        "repeat_customer_pct": _pct("count(*) filter (where n_ids > 1)", "count(*)"),
     }
     key = "strftime(first_day, '%Y-%m') as cohort_month"
     source = "(from customers where customer_id is not null)"

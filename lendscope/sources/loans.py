@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,23 +27,40 @@ LOANS_SCHEMA = T.StructType(
 )
 
 
+#: Decimals that sums of money keep exactly.
+MOST_DECIMALS = 6
+
+
+def _conformed(df: DataFrame, field: T.StructField) -> Column:
+    """One column in its type of the schema. No decimals are lost: a finer decimal column
+    keeps its scale, and a value of another type that has more decimals ends the query."""
+    column, own = F.col(field.name), df.schema[field.name].dataType
+    if own == field.dataType:
+        return column
+    cast = column.cast(field.dataType)
+    if isinstance(field.dataType, T.DecimalType):
+        if isinstance(own, T.DecimalType):
+            if own.scale > MOST_DECIMALS:
+                raise ValueError(f"{field.name} has {own.scale} decimals; sums keep {MOST_DECIMALS}")
+            if own.scale > field.dataType.scale:
+                return column
+        else:
+            finer = F.raise_error(F.lit(f"{field.name} has values of more than {field.dataType.scale} decimals"))
+            same = cast.cast("double") == column.cast("double")
+            cast = F.when(column.isNull() | same, cast).otherwise(finer)
+    return cast.alias(field.name)
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Select the loan columns out of `df` by name and cast them to `LOANS_SCHEMA`.
 
     Columns already of the right type are passed through without a cast, so that
-    filters on them still reach the Parquet scan.
+    filters on them still reach the Parquet scan. Decimals are never rounded.
     """
     missing = [f.name for f in LOANS_SCHEMA if f.name not in df.columns]
     if missing:
         raise ValueError(f"loan table lacks columns: {', '.join(missing)}")
-    return df.select(
-        *(
-            F.col(f.name)
-            if df.schema[f.name].dataType == f.dataType
-            else F.col(f.name).cast(f.dataType).alias(f.name)
-            for f in LOANS_SCHEMA
-        )
-    )
+    return df.select(*(_conformed(df, f) for f in LOANS_SCHEMA))
 
 
 def read_loans(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

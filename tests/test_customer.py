@@ -147,15 +147,13 @@ def test_no_repeat_customers_means_no_migration(make_loans):
     assert c.risk_migration(make_loans({})).collect() == []
 
 
-@pytest.mark.parametrize("gather_sets", [False, True])
-def test_affinity(make_loans, gather_sets):
+def test_affinity(make_loans):
     rows = c.product_affinity(
         make_loans(
             *loans_of(1, {"product_type": "SME"}, {"product_type": "POS"}, {"product_type": "SME"}),
             *loans_of(2, {"product_type": "POS"}, {"product_type": "SME"}),
             *loans_of(3, {"product_type": None}),
         ),
-        gather_sets,
     ).collect()
     assert [(r["product_combination"], r["number_of_products"], r["customer_count"]) for r in rows] == [
         ("POS, SME", 2, 2),
@@ -163,14 +161,26 @@ def test_affinity(make_loans, gather_sets):
     ]
 
 
-def test_affinity_of_64_products_and_of_more(make_loans):
-    names = [f"product {i:02}" for i in range(65)]
-    widest = make_loans(*loans_of(1, *({"product_type": p} for p in names[:64])), *loans_of(2, {"product_type": names[63]}))
-    assert c.product_affinity(widest).collect() == c.product_affinity(widest, gather_sets=True).collect()
-    wider = make_loans(*loans_of(1, *({"product_type": p} for p in names)))
-    assert c.product_affinity(wider, gather_sets=True).first()["number_of_products"] == 65
-    with pytest.raises(Exception, match="more than 64 distinct values"):
-        c.product_affinity(wider).collect()
+@pytest.mark.parametrize("width", [65, 500])
+def test_affinity_of_many_products(make_loans, width):
+    names = [f"product {i:03}" for i in range(width)]
+    loans = make_loans(
+        *loans_of(1, *({"product_type": p} for p in reversed(names))),
+        *loans_of(2, {"product_type": names[-1]}, {"product_type": names[-1]}),
+    )
+    rows = c.product_affinity(loans).collect()
+    assert [(r["product_combination"], r["number_of_products"]) for r in rows] == [
+        (", ".join(names), width),
+        (names[-1], 1),
+    ]
+    assert [r["total_loans"] for r in rows] == [width, 2]
+
+
+def test_cohorts_count_loan_ids(make_loans):
+    loans = make_loans(*loans_of(1, {}, {"loan_id": None, "days_past_due": 40}), *loans_of(2, {}, {}))
+    row = c.acquisition_cohorts(loans, TODAY).first()
+    assert (row["total_loans"], row["avg_loans_per_customer"]) == (3, 1.5)
+    assert (row["par_30_rate_pct"], row["repeat_customer_pct"]) == (33.33, 50.0)
 
 
 def test_channels(make_loans):
