@@ -122,6 +122,13 @@ def mean(name: str) -> Column:
     return ratio(F.sum(name), F.count(name))
 
 
+def mean_of_means(name: str | Column) -> Column:
+    """Average of figures that are doubles, over their sum as decimals: the same whatever
+    order the rows come in."""
+    value = F.col(name) if isinstance(name, str) else name
+    return ratio(F.sum(value.cast("decimal(28,10)")), F.count(value))
+
+
 def mean_money(name: str) -> Column:
     """Average of a two-decimal column over its exact sum."""
     return ratio(money(name), F.count(name))

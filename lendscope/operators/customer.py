@@ -71,13 +71,13 @@ def customer_segmentation(loans: DataFrame, as_of: date | None = None) -> DataFr
             F.sum("total_loans").alias("total_loans"),
             F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
             round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
-            round_to(F.avg("avg_loan_size"), 0).alias("avg_loan_size"),
-            round_to(F.avg("avg_risk_score"), 0).alias("avg_risk_score"),
-            round_to(F.avg("tenure_days"), 0).alias("avg_tenure_days"),
+            round_to(m.mean_of_means("avg_loan_size"), 0).alias("avg_loan_size"),
+            round_to(m.mean_of_means("avg_risk_score"), 0).alias("avg_risk_score"),
+            round_to(m.mean_of_means("tenure_days"), 0).alias("avg_tenure_days"),
             round_to(F.sum("total_revenue"), 2).alias("total_interest_income"),
             round_to(F.sum("total_loss"), 2).alias("total_loss"),
-            round_to(F.avg("profitability_pct"), 2).alias("avg_profitability_pct"),
-            round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
+            round_to(m.mean_of_means("profitability_pct"), 2).alias("avg_profitability_pct"),
+            round_to(m.mean_of_means("avg_days_past_due"), 1).alias("avg_days_past_due"),
         )
         .select(
             "customer_segment",
@@ -111,7 +111,9 @@ def _top_by_value(loans: DataFrame, n: int | None) -> tuple[DataFrame, list[Colu
     return restrict_to_top(loans, leaders, order, n), order
 
 
-def customer_clv(loans: DataFrame, n: int | None = 50) -> DataFrame:
+def customer_clv(
+    loans: DataFrame, n: int | None = 50, tiers: Sequence[tuple[int, str]] = CLV_TIERS
+) -> DataFrame:
     """Customers by lifetime value, interest income less actual loss, with their tier.
 
     `n` rows at most; all customers when `n` is None.
@@ -150,7 +152,7 @@ def customer_clv(loans: DataFrame, n: int | None = 50) -> DataFrame:
         F.col("loans_par_30").alias("delinquency_count"),
         F.size("products").cast("long").alias("products_used"),
         joined(F.col("products")).alias("product_mix"),
-        clv_tier(clv).alias("clv_tier"),
+        clv_tier(clv, tiers).alias("clv_tier"),
     )
     return ranked(profiles, order, n)
 
@@ -184,8 +186,8 @@ def customer_retention(loans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             # customers is the count of non-NULL ones.
             F.count("customer_id").alias("customer_count"),
             round_to(m.mean_money("loan_amount"), 0).alias("avg_loan_amount"),
-            round_to(F.avg("gap_days"), 0).alias("avg_days_between_loans"),
-            round_to(F.avg("growth_pct"), 2).alias("avg_loan_growth_pct"),
+            round_to(m.mean_of_means("gap_days"), 0).alias("avg_days_between_loans"),
+            round_to(m.mean_of_means("growth_pct"), 2).alias("avg_loan_growth_pct"),
             round_to(m.mean("risk_score"), 0).alias("avg_risk_score"),
             round_to(m.mean("days_past_due"), 1).alias("avg_days_past_due"),
             F.count_if(m.overdue()).alias("loans_par_30"),
@@ -226,9 +228,9 @@ def risk_migration(loans: DataFrame) -> DataFrame:
         )
         .agg(
             m.loans().alias("customer_count"),
-            round_to(F.avg(latest["risk_score"] - first["risk_score"]), 0).alias("avg_risk_score_change"),
-            round_to(F.avg(first["risk_score"]), 0).alias("avg_initial_risk_score"),
-            round_to(F.avg(latest["risk_score"]), 0).alias("avg_latest_risk_score"),
+            round_to(m.mean_of_means(latest["risk_score"] - first["risk_score"]), 0).alias("avg_risk_score_change"),
+            round_to(m.mean_of_means(first["risk_score"]), 0).alias("avg_initial_risk_score"),
+            round_to(m.mean_of_means(latest["risk_score"]), 0).alias("avg_latest_risk_score"),
         )
         .select(
             "risk_migration_pattern",
@@ -284,11 +286,11 @@ def product_affinity(loans: DataFrame) -> DataFrame:
         F.sum("total_loans").alias("total_loans"),
         F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
         round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
-        round_to(F.avg("avg_interest_rate"), 2).alias("avg_interest_rate"),
+        round_to(m.mean_of_means("avg_interest_rate"), 2).alias("avg_interest_rate"),
         round_to(F.sum("total_revenue"), 2).alias("total_revenue"),
         round_to(F.sum("total_loss"), 2).alias("total_loss"),
         _margin().alias("net_margin_pct"),
-        round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
+        round_to(m.mean_of_means("avg_days_past_due"), 1).alias("avg_days_past_due"),
     )
     # There may be nearly as many sets as customers, so their total is an aggregate, not a
     # window that takes all of them to one task.
@@ -327,15 +329,15 @@ def channel_acquisition(loans: DataFrame, as_of: date | None = None) -> DataFram
         .agg(
             m.loans().alias("customers_acquired"),
             F.sum("total_loans").alias("total_loans"),
-            round_to(F.avg("total_loans"), 2).alias("avg_loans_per_customer"),
+            round_to(m.mean_of_means("total_loans"), 2).alias("avg_loans_per_customer"),
             F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
             round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
-            round_to(F.avg("avg_risk_score"), 0).alias("avg_risk_score"),
+            round_to(m.mean_of_means("avg_risk_score"), 0).alias("avg_risk_score"),
             round_to(F.sum("total_revenue"), 2).alias("total_revenue"),
             round_to(F.sum("total_loss"), 2).alias("total_loss"),
             _margin().alias("net_margin_pct"),
-            round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
-            round_to(F.avg("age_days"), 0).alias("avg_customer_age_days"),
+            round_to(m.mean_of_means("avg_days_past_due"), 1).alias("avg_days_past_due"),
+            round_to(m.mean_of_means("age_days"), 0).alias("avg_customer_age_days"),
             multi_channel.alias("multi_channel_customers"),
             pct(multi_channel, m.loans()).alias("multi_channel_pct"),
         )
@@ -415,17 +417,25 @@ def warning_category(flags: Column) -> Column:
     )
 
 
-def early_warning(loans: DataFrame, as_of: date | None = None, n: int | None = 100) -> DataFrame:
+def early_warning(
+    loans: DataFrame,
+    as_of: date | None = None,
+    n: int | None = 100,
+    mean_dpd: int = 30,
+    risk_score: int = 700,
+    arrears_share: float = 0.5,
+) -> DataFrame:
     """Customers with at least one warning flag, most flags and largest exposure first.
 
-    `n` rows at most; all flagged customers when `n` is None.
+    `n` rows at most; all flagged customers when `n` is None. The last three are the limits
+    of `warning_flags`.
     """
     order = [F.desc("total_risk_flags"), F.desc("total_borrowed"), F.asc("customer_id")]
 
     def flagged(source: DataFrame, *more: str) -> DataFrame:
         return (
             customer_metrics(source, *WARNING_MEASURES, "total_borrowed", *more)
-            .withColumns(warning_flags())
+            .withColumns(warning_flags(mean_dpd, risk_score, arrears_share))
             .withColumn("total_risk_flags", flag_total())
             .where("total_risk_flags > 0")
         )
@@ -498,12 +508,12 @@ def profitability_matrix(loans: DataFrame, risky_dpd: int = 15) -> DataFrame:
             F.sum("total_loans").alias("total_loans"),
             F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
             round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
-            round_to(F.avg("avg_risk_score"), 0).alias("avg_risk_score"),
+            round_to(m.mean_of_means("avg_risk_score"), 0).alias("avg_risk_score"),
             round_to(F.sum("total_revenue"), 2).alias("total_revenue"),
             round_to(F.sum("total_loss"), 2).alias("total_loss"),
             round_to(F.sum("net_profit"), 2).alias("total_net_profit"),
             round_to(m.mean("net_profit"), 0).alias("avg_profit_per_customer"),
-            round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
+            round_to(m.mean_of_means("avg_days_past_due"), 1).alias("avg_days_past_due"),
         )
         .select(
             F.concat_ws(" / ", "value_segment", "risk_segment").alias("customer_quadrant"),
@@ -545,17 +555,17 @@ def acquisition_cohorts(loans: DataFrame, as_of: date | None = None) -> DataFram
         .agg(
             m.loans().alias("customers_acquired"),
             F.sum("counted_loans").alias("total_loans"),
-            round_to(F.avg("counted_loans"), 2).alias("avg_loans_per_customer"),
+            round_to(m.mean_of_means("counted_loans"), 2).alias("avg_loans_per_customer"),
             F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
             round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
-            round_to(F.avg("avg_risk_score"), 0).alias("avg_risk_score"),
+            round_to(m.mean_of_means("avg_risk_score"), 0).alias("avg_risk_score"),
             round_to(F.sum("total_revenue"), 2).alias("total_revenue"),
             round_to(F.sum("total_loss"), 2).alias("total_loss"),
             _margin().alias("net_margin_pct"),
-            round_to(F.avg("avg_days_past_due"), 1).alias("avg_days_past_due"),
+            round_to(m.mean_of_means("avg_days_past_due"), 1).alias("avg_days_past_due"),
             F.sum("loans_par_30").alias("total_loans_par_30"),
             pct(F.sum("loans_par_30"), F.sum("counted_loans")).alias("par_30_rate_pct"),
-            round_to(F.avg("age_days"), 0).alias("avg_cohort_age_days"),
+            round_to(m.mean_of_means("age_days"), 0).alias("avg_cohort_age_days"),
             pct(F.count_if(F.col("counted_loans") > 1), m.loans()).alias("repeat_customer_pct"),
         )
         .orderBy("cohort_month")

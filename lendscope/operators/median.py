@@ -1,7 +1,8 @@
 """Exact medians of large columns.
 
 The built-in exact percentile gathers every distinct value in one task. Here a histogram
-finds the two middle values' bins, and only those bins are looked at value by value.
+finds the two middle values' bins, whose range is cut into bins again, twice. Every step
+gathers counts of bins, a bounded number, whatever the values are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 # a few hundred thousand bins however many rows there are and however long their tail is.
 BINS_PER_E = 10_000
 
+# Bins of a refinement. Two make a bin narrower by 4 * 10^9.
+BINS = 1 << 16
+REFINEMENTS = 2
+
 
 def _bin(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * BINS_PER_E)).cast("long")
@@ -42,34 +47,66 @@ def exact_medians(df: DataFrame, *names: str) -> DataFrame:
     )
     per_metric = Window.partitionBy("metric")
     so_far = per_metric.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    middle_bins = (
+    counted = (
         values.groupBy("metric", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         .withColumns(
             {
-                "before_bin": F.coalesce(F.sum("n").over(so_far), F.lit(0)),
+                "before": F.coalesce(F.sum("n").over(so_far), F.lit(0)),
                 "total": F.sum("n").over(per_metric),
             }
         )
-        .where("before_bin <= total div 2 and before_bin + n > (total - 1) div 2")
-        .select("metric", "bin", "before_bin", "total")
     )
-    within = Window.partitionBy("metric", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    # At most two bins per metric, so the broadcast is a handful of rows.
+    # Two ranks for each metric, or one for an odd count.
+    ranks = F.array_distinct(F.array(F.expr("(total - 1) div 2"), F.expr("total div 2")))
+    targets = counted.select("*", F.explode(ranks).alias("rank"))
+    found = _holding(targets)
+    for _ in range(REFINEMENTS):
+        found = _holding(_refined(values, found))
+    return _picked(values, found, names)
+
+
+def _holding(bins: DataFrame) -> DataFrame:
+    """Of the bins of each metric and rank, the one that holds the rank."""
+    return bins.where("before <= rank and before + n > rank").select(
+        "metric", "rank", "total", "before", "low", "high"
+    )
+
+
+def _refined(values: DataFrame, found: DataFrame) -> DataFrame:
+    """The values from `low` to `high` of each found bin, counted in BINS of equal width."""
+    # At most two rows for each metric.
+    inside = values.join(F.broadcast(found), "metric").where("value between low and high")
+    width = (F.col("high") - F.col("low")) / BINS
+    place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(BINS - 1)))
+    own = Window.partitionBy("metric", "rank")
+    so_far = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        inside.withColumn("bin", F.coalesce(place, F.lit(0)))
+        .groupBy("metric", "rank", "total", "before", "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    )
+
+
+def _picked(values: DataFrame, found: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The value at each rank. By now a bin holds one distinct value, or a few that only the
+    last digits of a double tell apart."""
+    so_far = (
+        Window.partitionBy("metric", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    )
     placed = (
-        values.join(F.broadcast(middle_bins), ["metric", "bin"])
-        .groupBy("metric", "bin", "before_bin", "total", "value")
+        values.join(F.broadcast(found), "metric")
+        .where("value between low and high")
+        .groupBy("metric", "rank", "total", "before", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("at", F.col("before_bin") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+        .withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+        .where("at <= rank and at + n > rank")
     )
 
-    def holds(rank: str, metric: str) -> Column:
-        here = (F.col("metric") == metric) & F.expr(f"at <= {rank} and at + n > {rank}")
-        return F.max(F.when(here, F.col("value")))
+    def middle(pick, metric: str) -> Column:
+        return pick(F.when(F.col("metric") == metric, F.col("value")))
 
     return placed.agg(
-        *(
-            (holds("(total - 1) div 2", name) * 0.5 + holds("total div 2", name) * 0.5).alias(name)
-            for name in names
-        )
+        *((middle(F.min, name) * 0.5 + middle(F.max, name) * 0.5).alias(name) for name in names)
     )

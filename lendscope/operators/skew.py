@@ -30,8 +30,9 @@ def hot_customers(loans: DataFrame, hot_rows: int) -> DataFrame:
         .select(
             F.col("customer_id").alias("hot_id"),
             F.ceil(F.col("n") / hot_rows).alias("slices"),
-            F.col("id_from").cast("double"),
-            (F.col("id_to").cast("double") - F.col("id_from") + 1).alias("id_span"),
+            # Loans without an id are a slice of their own.
+            F.coalesce(F.col("id_from").cast("double"), F.lit(0.0)).alias("id_from"),
+            F.coalesce(F.col("id_to").cast("double") - F.col("id_from") + 1, F.lit(1.0)).alias("id_span"),
         )
     )
 

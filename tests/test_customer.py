@@ -286,6 +286,24 @@ def test_exact_median_of_many(spark):
     assert exact_medians(df, "a").first() == df.agg(F.percentile("a", F.lit(0.5)).alias("a")).first()
 
 
+@pytest.mark.parametrize(
+    "expression",
+    ["1000000 + pmod(id * 7919, 10000) / 100", "-id", "exp(id / 40.0)", "5.0", "if(id % 2 = 0, 1e-300, 1e300) * id"],
+)
+def test_exact_median_of_any_shape(spark, expression):
+    df = spark.range(20_001).selectExpr(f"cast({expression} as double) as a")
+    assert exact_medians(df, "a").first() == df.agg(F.percentile("a", F.lit(0.5)).alias("a")).first()
+
+
+def test_thresholds(make_loans):
+    loans = make_loans(*loans_of(1, {"days_past_due": 20, "risk_score": 690}))
+    assert c.early_warning(loans, TODAY, arrears_share=1.0).count() == 0
+    row = c.early_warning(loans, TODAY, mean_dpd=10, risk_score=600, arrears_share=1.0).first()
+    assert row["total_risk_flags"] == 2
+    assert c.customer_clv(loans).first()["clv_tier"] == "Bronze"
+    assert c.customer_clv(loans, tiers=((10, "Top"),)).first()["clv_tier"] == "Top"
+
+
 def test_median_of_nothing(spark):
     assert exact_medians(spark.createDataFrame([], "a double"), "a").first()["a"] is None
 
