@@ -7,6 +7,7 @@ from datetime import date
 from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lendscope.operators import customer as c
 from lendscope.operators import portfolio as p
@@ -105,4 +106,17 @@ PRIMITIVES: dict[str, LoanQuery] = {
     "op_distinct": o.distinct_rows,
 }
 
-CATALOG: dict[str, LoanQuery] = {**HEADLINE, **UNCUT, **PRIMITIVES}
+
+def wide_book(loans: DataFrame) -> DataFrame:
+    """The same loans with 500 products."""
+    return loans.withColumn("product_type", F.concat(F.lit("product "), F.expr("loan_id % 500")))
+
+
+# Branches of a plan that test data of usual shape does not reach.
+BRANCHES: dict[str, LoanQuery] = {
+    "product_affinity_wide": lambda loans: c.product_affinity(wide_book(loans)),
+    "customer_retention_sliced": partial(c.customer_retention, hot_rows=3),
+    "op_row_number_sliced": partial(o.row_number, hot_rows=3),
+}
+
+CATALOG: dict[str, LoanQuery] = {**HEADLINE, **UNCUT, **PRIMITIVES, **BRANCHES}

@@ -745,4 +745,14 @@ order by borrowed desc, customer_id limit 20"""
     "op_distinct": _over_loans("select distinct customer_id, product_type from loans"),
 }
 
-ORACLE: dict[str, str] = {**HEADLINE, **UNCUT, **PRIMITIVES}
+BRANCHES = {
+    "product_affinity_wide": HEADLINE["product_affinity"].replace(
+        "from loans group by customer_id",
+        "from (select * replace ('product ' || loan_id % 500 as product_type) from loans) group by customer_id",
+        1,
+    ),
+    "customer_retention_sliced": HEADLINE["customer_retention"],
+    "op_row_number_sliced": PRIMITIVES["op_row_number"],
+}
+
+ORACLE: dict[str, str] = {**HEADLINE, **UNCUT, **PRIMITIVES, **BRANCHES}
