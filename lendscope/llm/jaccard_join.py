@@ -14,8 +14,10 @@ document counts of grams are taken from a sketch of bounded size.
    too, so components are those of all links. A group of near copies, one component after
    the first round, has no such pairs, however large it is.
 
-A pair is verified by vertical partitioning: each set is cut by ranges of the global order
-into segments; overlaps are counted segment by segment and summed per pair.
+Fragments count apart how many prefix grams a pair shares; the sum per pair must reach what
+two sets alike enough share there at least. That leaves out pairs with a common passage. The
+others are verified by the same vertical partitioning of whole sets: each is cut by ranges of
+the global order into segments, overlaps are counted segment by segment, and summed.
 
 Defined results: a text without words, or null, has an empty set, is linked with nothing and
 its own component; equal non-empty sets are linked; repeated rows count as documents of
@@ -25,7 +27,6 @@ gives an empty table. Other columns are not carried by `linked_documents`.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,15 @@ MEMBERS = 512  # of one set's partners in one task
 MAX_WANTED_LONGS = 1 << 22
 SLICE_BYTES = 2 << 20
 
-#: Set sizes are kept to 1/STEP in their logarithm, in the low bits of a gram's order.
-STEP = 147
+#: Set sizes go along in the low bits of a gram's order: as they are below EXACT, above that
+#: to 1/STEP in their logarithm.
 SIZE_BITS = 12
-FAR = math.ceil(math.log(100 / PERCENT) * STEP) + 1
+EXACT = 1 << 11
+STEP = 100
 
 ROWS = "doc_id long, n_shingles long, node long, slice int, counts binary"
 ENTRIES = "bucket int, grams binary, nodes binary"
-MET = "a long, b long, list binary"
+MET = "a long, b long, code_a long, code_b long, shared long, list binary"
 SETS = "node long, segment int, size int, grams binary"
 OVERLAPS = "a long, b long, size_a int, size_b int, overlap long"
 
@@ -222,7 +224,7 @@ def _prefixes(sent, bits: int):
             nth = np.arange(len(place)) - sets.first[:-1][of]
             keep = fresh[of] & (nth < prefix_length(sets.size)[of])
             place, of = place[keep], of[keep]
-            code = (np.log(np.maximum(sets.size, 1)) * STEP).astype(np.uint64)[of]
+            code = size_code(sets.size).astype(np.uint64)[of]
             places.append(place >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS) | code)
             nodes.append(own[of])
             held += len(place)
@@ -235,11 +237,43 @@ def _prefixes(sent, bits: int):
     return run
 
 
+def size_code(size: np.ndarray) -> np.ndarray:
+    steps = np.log(np.maximum(size, EXACT) / EXACT) * STEP
+    return np.where(size < EXACT, size, EXACT + np.minimum(steps, EXACT - 1)).astype(np.int64)
+
+
+def size_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest size of a code."""
+    at = [np.exp((code - EXACT + k) / STEP) * EXACT for k in (0, 1)]
+    return (
+        np.where(code < EXACT, code, np.floor(at[0])).astype(np.int64),
+        np.where(code < EXACT, code, np.ceil(at[1])).astype(np.int64),
+    )
+
+
+def sizes_fit(code_a: np.ndarray, code_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be alike enough."""
+    (low_a, high_a), (low_b, high_b) = size_bounds(code_a), size_bounds(code_b)
+    return 100 * np.minimum(high_a, high_b) >= PERCENT * np.maximum(low_a, low_b)
+
+
+def needed(code_a: np.ndarray, code_b: np.ndarray) -> np.ndarray:
+    """How many prefix grams two sets of these sizes share at least, if alike enough.
+
+    Of two sorted sets, take the one whose prefix ends first: what they share up to there is
+    in both prefixes, and beyond there it has less than three quarters of its grams left."""
+    (low_a, high_a), (low_b, high_b) = size_bounds(code_a), size_bounds(code_b)
+    overlap = -(-PERCENT * (low_a + low_b) // (100 + PERCENT))
+    rest = -(-PERCENT * np.maximum(high_a, high_b) // 100) - 1
+    return np.maximum(1, overlap - rest)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each fragment, pairs of a gram's least node with its others, and the distinct lists
-    of three or more nodes (and size codes) that a gram has."""
+    """Of each fragment: pairs of a gram's least node with its others and how many grams they
+    share so; and the distinct lists of nodes (with size codes) that grams have, with the
+    number of those grams in `shared`."""
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.binary())])
+    schema = pa.schema([(f.split()[0], pa.binary() if "binary" in f else pa.int64()) for f in MET.split(", ")])
 
     def met(parts):
         gram = np.concatenate([np.frombuffer(g, np.uint64) for g, _ in parts])
@@ -263,30 +297,39 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.ones(len(gram), bool)
         start[1:] = gram[1:] != gram[:-1]
         at = np.flatnonzero(start)
-        group = np.cumsum(start) - 1
         if not len(at):
             return None
-        lead = at[group]
-        pair = np.flatnonzero(~start & (np.abs(code - code[lead]) <= FAR))
-        pairs = np.unique(np.stack([node[lead[pair]], node[pair]], axis=1), axis=0)
         sizes = np.diff(np.append(at, len(gram)))
         # Lists with the same nodes are told by a sum over them.
-        sums = np.add.reduceat(W.mix(node.view(np.uint64)), at)
-        long = np.flatnonzero(sizes > 2)
-        _, one = np.unique(sums[long], return_index=True)
+        sums = np.add.reduceat(W.mix(node.view(np.uint64)), at) + sizes.astype(np.uint64)
+        long = np.flatnonzero(sizes > 1)
+        if not len(long):
+            return None
+        _, one, times = np.unique(sums[long], return_index=True, return_counts=True)
+        chosen = long[one]
         lists = [
             np.stack([node[at[k] : at[k] + sizes[k]], code[at[k] : at[k] + sizes[k]]]).tobytes()
-            for k in long[one]
+            for k in chosen
         ]
+        lead = np.repeat(at[chosen], sizes[chosen] - 1)
+        inner = np.arange(len(lead)) - np.repeat(np.cumsum(sizes[chosen] - 1) - (sizes[chosen] - 1), sizes[chosen] - 1)
+        other, weight = lead + 1 + inner, np.repeat(times, sizes[chosen] - 1)
+        near = sizes_fit(code[other], code[lead])
+        lead, other, weight = lead[near], other[near], weight[near]
+        pairs, first, which = np.unique(
+            np.stack([node[lead], node[other]], axis=1), axis=0, return_index=True, return_inverse=True
+        )
         n, m = len(pairs), len(lists)
+        none = np.arange(n + m) >= n
+        column = lambda x: pa.array(np.append(x, np.zeros(m, np.int64)), mask=none)
+        count = np.bincount(which.ravel(), weight, n).astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.append(pairs[:, 0], np.zeros(m, np.int64)), mask=np.arange(n + m) >= n),
-                pa.array(np.append(pairs[:, 1], np.zeros(m, np.int64)), mask=np.arange(n + m) >= n),
-                pa.array([None] * n + lists, pa.binary()),
+                column(pairs[:, 0]), column(pairs[:, 1]), column(code[lead[first]]), column(code[other[first]]),
+                pa.array(np.append(count, times)), pa.array([None] * n + lists, pa.binary()),
             ],
             schema=schema,
-        )
+        )
 
     bucket, parts = None, []
     for batch in batches:
@@ -303,45 +346,64 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each node of each list: list (a fingerprint), node, code."""
+    """A row for each node of each list: list (a fingerprint), node, code, shared."""
     for batch in batches:
-        for blob in batch.column("list"):
+        for blob, shared in zip(batch.column("list"), batch.column("shared").to_pylist(), strict=True):
             node, code = np.frombuffer(blob.as_buffer(), np.int64).reshape(2, -1)
             name = W.mix(W.mix(node.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(node), name)), pa.array(node), pa.array(code)],
-                names=["list", "node", "code"],
+                [pa.array(np.full(len(node), name)), pa.array(node), pa.array(code), pa.array(np.full(len(node), shared))],
+                names=["list", "node", "code", "shared"],
             )
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list's nodes in different components; rows come sorted by list and label."""
+    names = ["a", "b", "code_a", "code_b", "shared"]
 
-    def pairs(label, node, code):
-        out = []
-        edges = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
-        for k, begin in enumerate(edges[1:], 1):
-            end = edges[k + 1] if k + 1 < len(edges) else len(label)
+    def pairs(label, node, code, shared):
+        edges = np.append(np.flatnonzero(np.append(True, label[1:] != label[:-1])), len(label))
+        for k in range(1, len(edges) - 1):
+            begin, end = edges[k], edges[k + 1]
+            out = []
             for j in range(begin, end):
-                near = np.flatnonzero(np.abs(code[:begin] - code[j]) <= FAR)
-                out.append(np.stack([np.minimum(node[near], node[j]), np.maximum(node[near], node[j])], axis=1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                near = np.flatnonzero(sizes_fit(code[:begin], code[j]))
+                swap = node[near] > node[j]
+                one, two = np.where(swap, node[j], node[near]), np.where(swap, node[near], node[j])
+                codes = np.where(swap, code[j], code[near]), np.where(swap, code[near], code[j])
+                out.append(np.stack([one, two, *codes, np.full(len(near), shared[0])]))
+            found = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     key, held = None, []
     for batch in batches:
-        names = np.asarray(batch.column("list"))
-        rows = [np.asarray(batch.column(n)) for n in ("label", "node", "code")]
-        cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
+        lists = np.asarray(batch.column("list"))
+        rows = [np.asarray(batch.column(n)) for n in ("label", "node", "code", "shared")]
+        cuts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1])) if len(lists) else []
         for k, begin in enumerate(cuts):
-            end = cuts[k + 1] if k + 1 < len(cuts) else len(names)
-            if names[begin] != key:
+            end = cuts[k + 1] if k + 1 < len(cuts) else len(lists)
+            if lists[begin] != key:
                 if held:
-                    yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                key, held = names[begin], []
+                    yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                key, held = lists[begin], []
             held.append([x[begin:end] for x in rows])
     if held:
-        yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _enough(pairs: DataFrame, part: float = 1.0) -> DataFrame:
+    """Sum per pair what fragments have counted, and keep (a, b) that may be alike; or those
+    with a part of what that takes."""
+    summed = pairs.groupBy("a", "b").agg(
+        F.sum("shared").alias("shared"), F.max("code_a").alias("code_a"), F.max("code_b").alias("code_b")
+    )
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, a, b = (np.asarray(batch.column(n)) for n in ("shared", "code_a", "code_b"))
+            yield batch.filter(pa.array(shared >= needed(a, b) * part)).select(["a", "b"])
+
+    return summed.mapInArrow(keep, "a long, b long")
 
 
 def _wanted(nodes: DataFrame) -> np.ndarray:
@@ -382,7 +444,7 @@ def _segments(sent):
                     seen.add(int(own[i]))
                     chosen.append(int(i))
             if len(seen) > 1 << 20:
-                seen.clear()  # segments that come twice are dropped later
+                seen.clear()  # a set may come twice then, which does not count
             place, _ = sets.ordered(frequent)
             rows = []
             for i in chosen:
@@ -404,7 +466,7 @@ def _segments(sent):
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (a, segment, salt), a's own first: count what each b shares with it."""
-    key, own, size_a = None, None, None
+    key, own, size_a, last = None, None, None, None
     for batch in batches:
         rows = []
         for a, segment, salt, b, size, grams in zip(
@@ -413,8 +475,9 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ):
             mine = np.frombuffer(grams, np.uint64)
             if b is None:
-                key, own, size_a = (a, segment, salt), mine, size
-            elif (a, segment, salt) == key:
+                key, own, size_a, last = (a, segment, salt), mine, size, None
+            elif (a, segment, salt) == key and b != last:
+                last = b
                 at = np.searchsorted(own, mine)
                 shared = int((own[np.minimum(at, len(own) - 1)] == mine).sum())
                 if shared:
@@ -431,19 +494,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are alike enough, by partial overlaps of segments.
 
     The segments of `a` go to the tasks that have its partners; a node with very many is sent
-    to several, MEMBERS partners each."""
+    to several, MEMBERS partners each. `sets` may have a segment more than once."""
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
-    dealt = pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    columns = ["a", "segment", "salt", "b", "size", "grams"]
-    partners = dealt.join(sets, dealt.b == sets.node).select(*columns)
-    own = (
-        load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .join(sets, F.col("a") == sets.node)
-        .withColumn("b", F.lit(None).cast("long"))
-        .select(*columns)
+    partners = pairs.join(load, "a").select(
+        F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b"
+    )
+    own = load.select(
+        F.col("a").alias("node"),
+        "a",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.lit(None).cast("long").alias("b"),
     )
     return (
         partners.unionByName(own)
+        .join(sets, "node")
+        .select("a", "segment", "salt", "b", "size", "grams")
         .repartition("a", "segment", "salt")
         .sortWithinPartitions("a", "segment", "salt", F.asc_nulls_first("b"))
         .mapInArrow(_overlap, OVERLAPS)
@@ -484,33 +549,37 @@ def links_of(
         .mapInArrow(_meet, MET),
         "jaccard-met",
     )
-    pairs = stored(met.filter("list is null").select("a", "b").distinct(), "jaccard-pairs")
+    # Counts of the first round are too low: a pair may also meet where another node is least.
+    pairs = stored(_enough(met.filter("list is null"), part=0.3), "jaccard-pairs")
     members = stored(
         met.filter("list is not null")
-        .select("list")
-        .mapInArrow(_members, "list long, node long, code long")
-        .distinct(),
+        .select("list", "shared")
+        .mapInArrow(_members, "list long, node long, code long, shared long")
+        .groupBy("list", "node")
+        .agg(F.max("code").alias("code"), F.sum("shared").alias("shared")),
         "jaccard-lists",
     )
-    nodes = (
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    )
-    wanted = spark.sparkContext.broadcast((frequent, _wanted(nodes)))
-    sets = stored(
-        texts.mapInArrow(_segments(wanted), SETS).dropDuplicates(["node", "segment"]), "jaccard-sets"
-    )
-    first = stored(verified(pairs, sets), "jaccard-links")
+    first = _verified_links(texts, frequent, pairs)
     labels = components(first)
+    # A pair of the first round may have met in more grams than those of its least node, so
+    # only what was verified is left out.
     apart = (
         members.join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
         .repartition("list")
         .sortWithinPartitions("list", "label", "node")
-        .mapInArrow(_across, "a long, b long")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+        .mapInArrow(_across, "a long, b long, code_a long, code_b long, shared long")
     )
-    return first.union(stored(verified(stored(apart, "jaccard-apart"), sets), "jaccard-links"))
+    rest = stored(_enough(apart).join(pairs, ["a", "b"], "left_anti"), "jaccard-apart")
+    return first if rest.isEmpty() else first.union(_verified_links(texts, frequent, rest))
+
+
+def _verified_links(texts: DataFrame, frequent: np.ndarray, pairs: DataFrame) -> DataFrame:
+    """The pairs that are alike enough. Whole sets are made only for their nodes."""
+    spark = texts.sparkSession
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = spark.sparkContext.broadcast((frequent, _wanted(nodes)))
+    return stored(verified(pairs, texts.mapInArrow(_segments(wanted), SETS)), "jaccard-links")
 
 
 def linked_documents(
