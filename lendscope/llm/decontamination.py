@@ -8,8 +8,8 @@ at each step it writes the current word, and a random function of the step and t
 says whether to go on to the next, so that after an edit two walks soon fall in step again,
 and few places of the two outputs differ. Bit-sampling takes some places of the output as a
 key, again and again with other places and other walks. The number of repetitions follows
-from the share of keys that meet between items and copies of them edited at random, so that
-the target recall is reached. Where keys meet, the edit distance of the whole item to the
+from the share of keys that meet between items and copies of them edited at random, as far
+as a match may be. Where keys meet, the edit distance of the whole item to the
 best-fitting passage is computed and decides.
 
 Documents are read once for each block of items and never shuffled; a block has at most
@@ -35,8 +35,7 @@ from lendscope.llm import words as W
 
 #: A passage matches within this share of the item's words.
 MAX_EDIT = 0.15
-#: Copies edited at this rate a word are to be found with this probability.
-EDIT_RATE = 0.1
+#: Copies at the largest distance that matches are to be found with this probability.
 RECALL = 0.95
 PLACES = 6
 WALKS = 2
@@ -122,19 +121,22 @@ def keys(symbols: np.ndarray, starts: np.ndarray, plan: Scheme) -> np.ndarray:
 
 
 def edited(item: np.ndarray, random: np.random.Generator, rate: float) -> np.ndarray:
-    """A copy with each word replaced, dropped or followed by another at `rate` in all."""
+    """A copy with that share of its words, rounded down, each replaced, dropped or followed by
+    another: a third of the draws each."""
+    chosen = np.zeros(len(item), bool)
+    chosen[random.choice(len(item), int(rate * len(item)), replace=False)] = True
     out = []
-    for word in item:
-        luck = random.random()
-        if luck >= rate or luck < rate * 2 / 3:
-            out.append(word if luck >= rate / 3 else random.integers(1, 1 << 62, dtype=np.uint64))
-        if luck < rate / 3 and random.random() < 0.5:
+    for word, edit in zip(item, chosen, strict=True):
+        kind = int(random.integers(0, 3)) if edit else -1
+        if kind != 1:
+            out.append(random.integers(1, 1 << 62, dtype=np.uint64) if kind == 0 else word)
+        if kind == 2:
             out.append(random.integers(1, 1 << 62, dtype=np.uint64))
     return np.array(out, np.uint64)
 
 
 def repetitions_for(
-    items: list[np.ndarray], sizes: Sizes, rate: float = EDIT_RATE, recall: float = RECALL, trials: int = 200
+    items: list[np.ndarray], sizes: Sizes, rate: float = MAX_EDIT, recall: float = RECALL, trials: int = 200
 ) -> int:
     """How many repetitions make the edited copy of an item meet it with probability `recall`.
 
@@ -191,7 +193,7 @@ def _low(key: np.ndarray) -> np.ndarray:
     return (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def prepared(rows: list[tuple[object, str | None]]) -> Items:
+def prepared(rows: list[tuple[object, str | None]], max_edit: float = MAX_EDIT) -> Items:
     texts = pa.array([text for _, text in rows], pa.string())
     words, _ = normalised(*W.raw(texts))
     symbols = W.hashes(words)
@@ -202,7 +204,7 @@ def prepared(rows: list[tuple[object, str | None]]) -> Items:
             classes.setdefault(size_class(len(item)), []).append(i)
     schemes, key, item, offset = [], [], [], []
     for sizes, members in sorted(classes.items()):
-        plan = scheme(sizes, repetitions_for([lists[i] for i in members], sizes))
+        plan = scheme(sizes, repetitions_for([lists[i] for i in members], sizes, max_edit))
         schemes.append(plan)
         for i in members:
             at = np.arange(len(lists[i]) - sizes.window + 1)
@@ -288,7 +290,9 @@ def passages(column: pa.Array, items: Items, max_edit: float = MAX_EDIT) -> Iter
             )
 
 
-def item_blocks(items: DataFrame, max_keys: int = MAX_KEYS) -> Iterator[Items]:
+def item_blocks(
+    items: DataFrame, max_keys: int = MAX_KEYS, max_edit: float = MAX_EDIT
+) -> Iterator[Items]:
     """Items (item_id, text) in blocks whose keys are bounded."""
     narrow = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     # An item of n words has up to n/2 windows, each with up to 24 keys.
@@ -298,7 +302,7 @@ def item_blocks(items: DataFrame, max_keys: int = MAX_KEYS) -> Iterator[Items]:
     for block in range(blocks):
         rows = narrow.filter(place == block).orderBy("item_id", "text").collect()
         if rows:
-            yield prepared([tuple(row) for row in rows])
+            yield prepared([tuple(row) for row in rows], max_edit)
 
 
 def find_passages(
@@ -311,7 +315,7 @@ def find_passages(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
     )
     out = spark.createDataFrame([], MATCHES)
-    for block in item_blocks(items):
+    for block in item_blocks(items, max_edit=max_edit):
         sent = _sent(spark, block)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -335,7 +339,7 @@ def clean_documents(
 ) -> DataFrame:
     """`docs` less those in which an item is found."""
     spark = docs.sparkSession
-    for block in item_blocks(items):
+    for block in item_blocks(items, max_edit=max_edit):
         sent = _sent(spark, block)
 
         def drop(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

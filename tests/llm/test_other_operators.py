@@ -195,6 +195,52 @@ def test_recall_of_edited_items():
     assert len(close) > 80 and len(found & close) >= 0.9 * len(close)
 
 
+def random_item(random, n):
+    return random.integers(1, 1 << 62, n, dtype=np.uint64)
+
+
+def test_edits_that_calibrate_are_those_of_the_limit():
+    random = np.random.default_rng(3)
+    touched, longer, shorter = 0, 0, 0
+    for _ in range(300):
+        item = random_item(random, 40)
+        copy = decontamination.edited(item, random, decontamination.MAX_EDIT)
+        touched += brute.edit_distance(item.tolist(), copy.tolist())
+        kept = int(np.isin(item, copy).sum())
+        shorter += 40 - kept
+        longer += len(copy) - kept
+    # Six words each; of them a third is replaced, a third dropped, and a third followed by another.
+    assert touched == pytest.approx(6 * 300, rel=0.02)
+    assert longer == pytest.approx(4 * 300, rel=0.1)
+    assert shorter == pytest.approx(4 * 300, rel=0.1)
+
+
+def recall_at_the_limit(lengths, copies):
+    """The share of copies at the largest distance that matches which are found."""
+    pick, random = random_words(9), np.random.default_rng(9)
+    rows = [(k, " ".join(pick(n))) for k, n in enumerate(lengths)]
+    block = decontamination.prepared(rows)
+    found = 0
+    for k, (_, text) in enumerate(rows):
+        texts = []
+        for c in range(copies):
+            words = text.split()
+            copy = decontamination.edited(np.arange(len(words), dtype=np.uint64), random, decontamination.MAX_EDIT)
+            own = [words[int(i)] if i < len(words) else f"x{int(i) % 10**9}" for i in copy]
+            texts.append(" ".join(pick(30 + c % 17) + own + pick(40)))
+        found += len({i for i, item, *_ in decontamination.passages(pa.array(texts), block) if item == k})
+    return found / (copies * len(rows))
+
+
+def random_words(seed):
+    pick = random.Random(seed)
+    return lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
+
+
+def test_recall_at_the_largest_distance_that_matches():
+    assert recall_at_the_limit(range(15, 58), 20) >= 0.95
+
+
 def test_nothing_to_decontaminate(spark, items):
     docs = spark.createDataFrame([(1, ITEM)], DOCS)
     assert decontamination.find_passages(docs.limit(0), items).collect() == []
