@@ -9,7 +9,9 @@ says whether to go on to the next, so that after an edit two walks soon fall in
 and few places of the two outputs differ. Bit-sampling takes some places of the output as a
 key, again and again with other places and other walks. The number of repetitions follows
 from the share of keys that meet between items and copies of them edited at random, as far
-as a match may be. Where keys meet, the edit distance of the whole item to the
+as a match may be. Where the most repetitions do not reach the target recall, as with long
+items, an item of k edits at most is keyed by k + 1 pieces instead, one of which every match
+has whole. Where keys meet, the edit distance of the whole item to the
 best-fitting passage is computed and decides.
 
 Documents are read once for each block of items and never shuffled; a block has at most
@@ -38,7 +40,9 @@ MAX_EDIT = 0.15
 #: Copies at the largest distance that matches are to be found with this probability.
 RECALL = 0.95
 PLACES = 6
-WALKS = 2
+#: Repetitions at most and walks, to be tried in this order; and copies that judge a class.
+LEVELS = ((24, 2), (48, 4))
+TRIALS = 200
 MAX_KEYS = 4_000_000
 BLOCK = 1 << 15
 FILTER_BITS = 22
@@ -82,7 +86,7 @@ class Scheme(NamedTuple):
     coefficients: np.ndarray
 
 
-def scheme(sizes: Sizes, repetitions: int, places: int = PLACES, walks: int = WALKS) -> Scheme:
+def scheme(sizes: Sizes, repetitions: int, places: int = PLACES, walks: int = LEVELS[0][1]) -> Scheme:
     random = np.random.default_rng(sizes.window)
     steps = 2 * sizes.window
     odd = lambda *shape: random.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + _ONE
@@ -135,43 +139,70 @@ def edited(item: np.ndarray, random: np.random.Generator, rate: float) -> np.nda
     return np.array(out, np.uint64)
 
 
-def repetitions_for(
-    items: list[np.ndarray], sizes: Sizes, rate: float = MAX_EDIT, recall: float = RECALL, trials: int = 200
-) -> int:
-    """How many repetitions make the edited copy of an item meet it with probability `recall`.
+def _owners(parts: list[np.ndarray]) -> np.ndarray:
+    return np.repeat(np.arange(len(parts)), [len(part) for part in parts])
 
-    Measured on at most `trials` items: the chance that one repetition meets, at any window.
-    """
+
+def _together(starts: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Starts within each text as starts within all of them, one after the other."""
+    shift = np.cumsum([0, *(len(text) for text in texts)])
+    return np.concatenate([own + by for own, by in zip(starts, shift, strict=False)])
+
+
+def plan_for(
+    items: list[np.ndarray], sizes: Sizes, rate: float = MAX_EDIT, recall: float = RECALL, trials: int = TRIALS
+) -> Scheme | None:
+    """The fewest repetitions by which the edited copy of an item meets it, at any window, with
+    probability `recall`, and a standard error of the trials more; None if the most do not."""
+    goal = recall + math.sqrt(recall * (1 - recall) / trials)
     random = np.random.default_rng(1)
-    many = 24
-    plan = scheme(sizes, many)
-    met = []
-    for k in range(min(trials, 4 * len(items))):
-        item = items[k % len(items)]
-        copy = edited(item, random, rate)
-        shift = int(random.integers(0, sizes.stride))
-        at = np.arange(shift, max(shift, len(copy) - sizes.window + 1), sizes.stride)
-        if not len(at):
-            continue
-        own = keys(item, np.arange(len(item) - sizes.window + 1), plan)
-        other = keys(copy, at, plan)
-        met.append([bool(np.isin(other[r], own[r]).any()) for r in range(many)])
-    if not met:
-        return WALKS
-    met = np.array(met)
-    for n in range(WALKS, many):
-        if met[:, :n].any(axis=1).mean() >= recall:
-            return n
-    return many
+    of = np.arange(trials) % len(items)
+    used = items[:trials]
+    copies = [edited(used[i], random, rate) for i in of]
+    # Without a window inside the copy nothing meets.
+    inside = [
+        np.arange(shift, max(shift, len(copy) - sizes.window + 1), sizes.stride)
+        for copy, shift in zip(copies, random.integers(0, sizes.stride, trials), strict=True)
+    ]
+    whole = [np.arange(len(item) - sizes.window + 1) for item in used]
+    own_of, copy_of = _owners(whole), _owners(inside)
+    own_tag, copy_tag = W.mix(own_of.astype(np.uint64)), W.mix(of[copy_of].astype(np.uint64))
+    for many, walks in LEVELS:
+        plan = scheme(sizes, many, walks=walks)
+        own = keys(np.concatenate(used), _together(whole, used), plan) ^ own_tag
+        other = keys(np.concatenate(copies), _together(inside, copies), plan) ^ copy_tag
+        met = np.zeros((trials, many), bool)
+        for r in range(many):
+            met[copy_of[np.isin(other[r], own[r])], r] = True
+        share = np.logical_or.accumulate(met, axis=1).mean(axis=0)
+        enough = np.flatnonzero(share[walks - 1 :] >= goal)
+        if len(enough):
+            n = walks + int(enough[0])
+            return plan._replace(
+                walk=plan.walk[:n], places=plan.places[:n], coefficients=plan.coefficients[:n]
+            )
+    return None
+
+
+def pieces(length: int, max_edit: float) -> tuple[int, np.ndarray]:
+    """Size and offsets of pieces of an item, one more than a match may have edits. An edit
+    spoils one piece at most, so every match has some piece whole."""
+    count = int(max_edit * length) + 1
+    return max(1, length // count), np.arange(count) * length // count
+
+
+def piece_keys(symbols: np.ndarray, size: int) -> np.ndarray:
+    return W.mix(W.windows(symbols, size) ^ W.mix(np.array([size], np.uint64)))
 
 
 class Items(NamedTuple):
-    """A block of items, as broadcast. Entries of `key` are sorted; each belongs to the window
+    """A block of items, as broadcast; `pieces` are the sizes in use. Entries of `key` are sorted; each belongs to the window
     at `offset` of an item."""
 
     ids: list
     words: list[np.ndarray]
     schemes: list[Scheme]
+    pieces: list[int]
     key: np.ndarray
     item: np.ndarray
     offset: np.ndarray
@@ -193,7 +224,25 @@ def _low(key: np.ndarray) -> np.ndarray:
     return (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def prepared(rows: list[tuple[object, str | None]], max_edit: float = MAX_EDIT) -> Items:
+class Plans(NamedTuple):
+    """Words of items, and the classes: the scheme of each, or None for pieces, and its items."""
+
+    words: list[np.ndarray]
+    classes: list[tuple[Scheme | None, list[int]]]
+    max_edit: float
+
+    def count(self) -> int:
+        """How many keys the items have."""
+        return sum(
+            len(plan.walk) * (len(self.words[i]) - plan.sizes.window + 1)
+            if plan
+            else int(self.max_edit * len(self.words[i])) + 1
+            for plan, members in self.classes
+            for i in members
+        )
+
+
+def planned(rows: list[tuple[object, str | None]], max_edit: float = MAX_EDIT) -> Plans:
     texts = pa.array([text for _, text in rows], pa.string())
     words, _ = normalised(*W.raw(texts))
     symbols = W.hashes(words)
@@ -202,13 +251,29 @@ def prepared(rows: list[tuple[object, str | None]], max_edit: float = MAX_EDIT)
     for i, item in enumerate(lists):
         if len(item):
             classes.setdefault(size_class(len(item)), []).append(i)
-    schemes, key, item, offset = [], [], [], []
-    for sizes, members in sorted(classes.items()):
-        plan = scheme(sizes, repetitions_for([lists[i] for i in members], sizes, max_edit))
-        schemes.append(plan)
+    plans = [
+        (plan_for([lists[i] for i in members], sizes, max_edit), members)
+        for sizes, members in sorted(classes.items())
+    ]
+    return Plans(lists, plans, max_edit)
+
+
+def prepared(
+    rows: list[tuple[object, str | None]], max_edit: float = MAX_EDIT, plans: Plans | None = None
+) -> Items:
+    lists, classes, _ = plans or planned(rows, max_edit)
+    schemes, sizes, key, item, offset = [], set(), [], [], []
+    for plan, members in classes:
+        if plan:
+            schemes.append(plan)
         for i in members:
-            at = np.arange(len(lists[i]) - sizes.window + 1)
-            own = keys(lists[i], at, plan)
+            if plan:
+                at = np.arange(len(lists[i]) - plan.sizes.window + 1)
+                own = keys(lists[i], at, plan)
+            else:
+                size, at = pieces(len(lists[i]), max_edit)
+                sizes.add(size)
+                own = piece_keys(lists[i], size)[at][None, :]
             key.append(own.ravel())
             item.append(np.full(own.size, i))
             offset.append(np.tile(at, len(own)))
@@ -217,7 +282,8 @@ def prepared(rows: list[tuple[object, str | None]], max_edit: float = MAX_EDIT)
     order = np.argsort(key, kind="stable")
     maybe = np.zeros(1 << FILTER_BITS, bool)
     maybe[_low(key)] = True
-    return Items([i for i, _ in rows], lists, schemes, key[order], item[order], offset[order], maybe)
+    ids = [i for i, _ in rows]
+    return Items(ids, lists, schemes, sorted(sizes), key[order], item[order], offset[order], maybe)
 
 
 def best_fit(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -235,6 +301,18 @@ def candidates(symbols: np.ndarray, first: np.ndarray, items: Items) -> np.ndarr
     """Distinct (text, item, where the item would start) for windows whose keys meet."""
     found = []
     counts = np.diff(first)
+
+    def meet(own: np.ndarray, text: np.ndarray, starts: np.ndarray) -> None:
+        near = np.flatnonzero(items.maybe[_low(own)])
+        low = np.searchsorted(items.key, own[near], "left")
+        high = np.searchsorted(items.key, own[near], "right")
+        near, low, size = near[high > low], low[high > low], (high - low)[high > low]
+        entry = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        at = np.repeat(near, size)
+        found.append(
+            np.stack([text[at], items.item[entry], starts[at] - items.offset[entry]], axis=1)
+        )
+
     for plan in items.schemes:
         window, stride = plan.sizes
         windows = np.maximum(0, (counts - window) // stride + 1)
@@ -242,15 +320,12 @@ def candidates(symbols: np.ndarray, first: np.ndarray, items: Items) -> np.ndarr
         nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
         starts = first[:-1][text] + nth * stride
         for own in keys(symbols, starts, plan):
-            near = np.flatnonzero(items.maybe[_low(own)])
-            low = np.searchsorted(items.key, own[near], "left")
-            high = np.searchsorted(items.key, own[near], "right")
-            near, low, size = near[high > low], low[high > low], (high - low)[high > low]
-            entry = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-            at = np.repeat(near, size)
-            found.append(
-                np.stack([text[at], items.item[entry], starts[at] - items.offset[entry]], axis=1)
-            )
+            meet(own, text, starts)
+    for size in items.pieces:
+        owner = np.repeat(np.arange(len(counts)), counts)
+        own = piece_keys(symbols, size)
+        starts = np.flatnonzero(owner[: len(own)] == owner[size - 1 : size - 1 + len(own)])
+        meet(own[starts], owner[starts], starts)
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
@@ -295,14 +370,23 @@ def item_blocks(
 ) -> Iterator[Items]:
     """Items (item_id, text) in blocks whose keys are bounded."""
     narrow = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    # An item of n words has up to n/2 windows, each with up to 24 keys.
+    # An item of n words has up to n/2 windows, each with 24 keys or so; more are halved below.
     size = narrow.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     blocks = max(1, -(-size * 12 // max_keys))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for block in range(blocks):
         rows = narrow.filter(place == block).orderBy("item_id", "text").collect()
         if rows:
-            yield prepared([tuple(row) for row in rows], max_edit)
+            yield from _bounded([tuple(row) for row in rows], max_keys, max_edit)
+
+
+def _bounded(rows: list[tuple], max_keys: int, max_edit: float) -> Iterator[Items]:
+    plans = planned(rows, max_edit)
+    if plans.count() > max_keys and len(rows) > 1:
+        for half in (rows[::2], rows[1::2]):
+            yield from _bounded(half, max_keys, max_edit)
+    else:
+        yield prepared(rows, max_edit, plans)
 
 
 def find_passages(

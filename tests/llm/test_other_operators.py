@@ -241,6 +241,16 @@ def test_recall_at_the_largest_distance_that_matches():
     assert recall_at_the_limit(range(15, 58), 20) >= 0.95
 
 
+@pytest.mark.parametrize("length", [58, 160, 600])
+def test_recall_of_a_single_long_item(length):
+    assert recall_at_the_limit([length], 100) >= 0.95
+
+
+def test_pieces_lose_nothing(monkeypatch):
+    monkeypatch.setattr(decontamination, "plan_for", lambda *_: None)
+    assert recall_at_the_limit([1, 2, 6, 7, 13, 14, 20, 33, 59, 160], 40) == 1
+
+
 def test_nothing_to_decontaminate(spark, items):
     docs = spark.createDataFrame([(1, ITEM)], DOCS)
     assert decontamination.find_passages(docs.limit(0), items).collect() == []
