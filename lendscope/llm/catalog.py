@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lendscope.llm.decontamination import op6_decontamination
-from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join
+from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join, op4_jaccard_links
 from lendscope.llm.packing import op9_packing
 from lendscope.llm.quality_rules import OP8_SQL, op8_quality_rules
 from lendscope.llm.secret_scan import OP7_SQL, op7_secret_scan
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
+    "op4_jaccard_links": op4_jaccard_links,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,

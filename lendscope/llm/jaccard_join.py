@@ -14,6 +14,9 @@ document counts of grams are taken from a sketch of bounded size.
    too, so components are those of all links. A group of near copies, one component after
    the first round, has no such pairs, however large it is.
 
+Where links are counted, step 4 takes all pairs of a gram's nodes, also those of one component.
+Copies are one node; each counts as a link of the others, and for every link of their node.
+
 Fragments count apart how many prefix grams a pair shares; the sum per pair must reach what
 two sets alike enough share there at least. That leaves out pairs with a common passage. The
 others are verified by the same vertical partitioning of whole sets: each is cut by ranges of
@@ -391,6 +394,60 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """The nodes of each list, those of a long one in blocks of about MEMBERS: a row for every
+    pair of blocks that a node is to be paired in."""
+    load = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
+    own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    return (
+        members.join(load, "list")
+        .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+        .select(
+            "list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            "own", "node", "code", "shared",
+        )
+        .repartition("list", "low", "high")
+        .sortWithinPartitions("list", "low", "high", "own", "node")
+    )
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a list's nodes, by pairs of blocks; rows come as `_blocks` sorts them."""
+
+    def pairs(key, own, node, code, shared):
+        split = int(np.searchsorted(own, key[2], "left"))
+        out = []
+        for j in range(split if key[1] != key[2] else 1, len(node)):
+            end = split if key[1] != key[2] else j
+            near = np.flatnonzero(sizes_fit(code[:end], code[j]))
+            swap = node[near] > node[j]
+            one, two = np.where(swap, node[j], node[near]), np.where(swap, node[near], node[j])
+            codes = np.where(swap, code[j], code[near]), np.where(swap, code[near], code[j])
+            out.append(np.stack([one, two, *codes, np.full(len(near), shared[0])]))
+        if out:
+            found = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in found], names=["a", "b", "code_a", "code_b", "shared"]
+            )
+
+    key, held = None, []
+    for batch in batches:
+        keys = [np.asarray(batch.column(n)) for n in ("list", "low", "high")]
+        rows = [np.asarray(batch.column(n)) for n in ("own", "node", "code", "shared")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        cuts = np.append(np.flatnonzero(new), batch.num_rows)
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            here = tuple(int(k[begin]) for k in keys)
+            if here != key:
+                if held:
+                    yield from pairs(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                key, held = here, []
+            held.append([x[begin:end] for x in rows])
+    if held:
+        yield from pairs(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def _enough(pairs: DataFrame, part: float = 1.0) -> DataFrame:
     """Sum per pair what fragments have counted, and keep (a, b) that may be alike; or those
     with a part of what that takes."""
@@ -536,9 +593,10 @@ def _frequent_bits(described: DataFrame, cells: int, grams: int) -> np.ndarray:
 
 
 def links_of(
-    texts: DataFrame, frequent: np.ndarray, grams: int, bucket_bytes: int = BUCKET_BYTES
+    texts: DataFrame, frequent: np.ndarray, grams: int, bucket_bytes: int = BUCKET_BYTES,
+    every: bool = False,
 ) -> DataFrame:
-    """Links (a, b) of nodes such that their components are those of all links."""
+    """Links (a, b) of nodes such that their components are those of all links; or every link."""
     spark = texts.sparkSession
     bits = max(1, (grams * 4 // bucket_bytes).bit_length() + 1)
     sent = spark.sparkContext.broadcast(frequent)
@@ -560,6 +618,12 @@ def links_of(
         "jaccard-lists",
     )
     first = _verified_links(texts, frequent, pairs)
+    if every:
+        inside = _blocks(members).mapInArrow(
+            _within, "a long, b long, code_a long, code_b long, shared long"
+        )
+        rest = stored(_enough(inside).join(pairs, ["a", "b"], "left_anti"), "jaccard-inside")
+        return first if rest.isEmpty() else first.union(_verified_links(texts, frequent, rest))
     labels = components(first)
     # A pair of the first round may have met in more grams than those of its least node, so
     # only what was verified is left out.
@@ -582,10 +646,26 @@ def _verified_links(texts: DataFrame, frequent: np.ndarray, pairs: DataFrame) ->
     return stored(verified(pairs, texts.mapInArrow(_segments(wanted), SETS)), "jaccard-links")
 
 
+def _link_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n_links): how many rows each row of a node is linked with."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = (
+        both.join(nodes.select(F.col("node").alias("b"), "rows"), "b")
+        .groupBy(F.col("a").alias("node"))
+        .agg(F.sum("rows").alias("others"))
+    )
+    n_links = F.col("rows") - 1 + F.coalesce("others", F.lit(0))
+    return stored(
+        nodes.join(others, "node", "left").select("node", n_links.alias("n_links")), "jaccard-counts"
+    )
+
+
 def linked_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = 250_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = 250_000,
+    count_links: bool = False,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links lead to) of every row."""
+    """doc_id, n_shingles, component_id (the least doc_id that links lead to) of every row; and
+    n_links, the rows it is linked with, if they are to be counted."""
     spark = docs.sparkSession
     texts = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
@@ -596,7 +676,8 @@ def linked_documents(
     described = stored(texts.mapInArrow(_describe(cells), ROWS), "jaccard-rows")
     rows = described.filter("slice is null").select("doc_id", "n_shingles", "node")
     frequent = _frequent_bits(described, cells, grams)
-    labels = components(links_of(texts, frequent, grams))
+    links = links_of(texts, frequent, grams, every=count_links)
+    labels = components(links)
 
     nodes = stored(
         rows.filter("node is not null")
@@ -608,6 +689,8 @@ def linked_documents(
     )
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "label").select("node", "rows", "component_id")
+    if count_links:
+        named = named.join(_link_counts(nodes, links), "node")
     # One set may have a third of all rows: such sets, at most one for each heavy_rows rows,
     # meet their rows by broadcast, the others by a shuffle.
     heavy = F.broadcast(named.filter(F.col("rows") > heavy_rows).drop("rows"))
@@ -615,7 +698,10 @@ def linked_documents(
     full = rows.filter("node is not null")
     out = full.join(heavy, "node").unionByName(full.join(heavy, "node", "left_anti").join(light, "node"))
     alone = rows.filter("node is null").withColumn("component_id", F.col("doc_id"))
-    return out.unionByName(alone).select("doc_id", "n_shingles", "component_id")
+    if count_links:
+        alone = alone.withColumn("n_links", F.lit(0).cast("long"))
+    columns = ["doc_id", "n_shingles", "component_id"] + ["n_links"] * count_links
+    return out.unionByName(alone).select(*columns)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -643,6 +729,12 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return linked_documents(docs)
 
 
+def op4_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """As op4_jaccard_join, whose SQL has three columns, and the number of links."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return linked_documents(docs, count_links=True)
+
+
 OP4_SQL = """
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),

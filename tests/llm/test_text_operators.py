@@ -100,6 +100,27 @@ def test_links_of_random_families(spark):
     assert out == sorted(brute.linked(random_rows), key=repr)
 
 
+@pytest.mark.parametrize("members", [4, 512])
+def test_every_link_is_counted(spark, monkeypatch, members):
+    """Links inside groups too, copies each for themselves."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    pick, rows = random.Random(21), []
+    for family in range(4):
+        base = prose(500 + family, 120)
+        for _ in range(14):
+            own = list(base)
+            for _ in range(pick.randrange(0, 4)):
+                own[pick.randrange(len(own))] = f"x{pick.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + k, text) for k, text in enumerate([rows[0][1], rows[0][1], "", None, "one two"])]
+    sets = {i: brute.shingles(text) for i, text in rows}
+    alike = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    counts = {i: sum(j != i and alike(sets[i], sets[j]) for j in sets) for i in sets}
+    out = jaccard_join.linked_documents(spark.createDataFrame(rows, DOCS), count_links=True).collect()
+    assert {r.doc_id: r.n_links for r in out} == counts
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute.linked(rows)
+
+
 def test_one_document_of_each_group_stays(docs, rows):
     kept = {r.doc_id for r in jaccard_join.one_of_each(docs).collect()}
     assert kept == {least for _, _, least in brute.linked(rows)}
