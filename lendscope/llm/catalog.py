@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lendscope.llm.decontamination import op6_decontamination
 from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join, op4_jaccard_links
+from lendscope.llm.lexical_search import OP11_SQL, op11_lexical_search
 from lendscope.llm.packing import op9_packing
 from lendscope.llm.quality_rules import OP8_SQL, op8_quality_rules
 from lendscope.llm.secret_scan import OP7_SQL, op7_secret_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLE = {
@@ -34,4 +36,5 @@ ORACLE = {
     "op7_secret_scan": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
 }
