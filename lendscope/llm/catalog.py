@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lendscope.llm.chat_format import OP12_SQL, op12_chat_format
 from lendscope.llm.decontamination import op6_decontamination
 from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join, op4_jaccard_links
 from lendscope.llm.lexical_search import OP11_SQL, op11_lexical_search
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
     "op11_lexical_search": op11_lexical_search,
+    "op12_chat_format": op12_chat_format,
 }
 
 ORACLE = {
@@ -37,4 +39,5 @@ ORACLE = {
     "op8_quality_rules": OP8_SQL,
     "op10_warc": OP10_SQL,
     "op11_lexical_search": OP11_SQL,
+    "op12_chat_format": OP12_SQL,
 }
