@@ -7,6 +7,7 @@ from lendscope.llm.decontamination import op6_decontamination
 from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join, op4_jaccard_links
 from lendscope.llm.lexical_search import OP11_SQL, op11_lexical_search
 from lendscope.llm.packing import op9_packing
+from lendscope.llm.periodic_runs import op13_periodic_runs
 from lendscope.llm.quality_rules import OP8_SQL, op8_quality_rules
 from lendscope.llm.secret_scan import OP7_SQL, op7_secret_scan
 from lendscope.llm.sharding import op5_sharding
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_lexical_search": op11_lexical_search,
     "op12_chat_format": op12_chat_format,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
