@@ -18,6 +18,10 @@ NON_PERFORMING = ("Defaulted", "Written Off")
 PAR_DAYS = 30
 _SPLIT_BITS = 20
 
+#: Digits before the point that a long of hundredths holds with any two decimals, and those of
+#: a rate whose product with the high bits of such an amount is still a long.
+LONG_DIGITS, RATE_DIGITS = 16, 4
+
 
 def overdue(days: int = PAR_DAYS) -> Column:
     """Whether a loan is more than `days` days past due."""
@@ -32,21 +36,45 @@ def loans() -> Column:
     return F.count(F.lit(1))
 
 
-def _fits(name: str) -> Column:
-    """Whether a value has at most two decimals and a size that hundredths in a long hold."""
-    value = F.col(name)
-    return (value == F.round(value, 2)) & (F.abs(value) < 10**16)
+def _declared(value: Column, digits: int) -> Column:
+    """Whether a column's type has at most two decimals and `digits` digits before them.
+
+    It is a constant of the plan: the optimizer folds it, and with it goes the accumulator that
+    the schema rules out. It knows the schema where this function does not. Outside of
+    aggregates the type is that of the maximum, which the folding removes as well.
+    """
+    kinds = "|".join(f"{_up_to(digits + scale)},{scale}" for scale in range(3))
+    return F.typeof(value).rlike(rf"^decimal\(({kinds})\)$")
+
+
+def _up_to(n: int) -> str:
+    """A pattern for the numbers 1 to n, of two digits at most."""
+    return f"([1-9]|1[0-{n - 10}])" if n >= 10 else f"[1-{n}]"
 
 
 def _hundredths(name: str) -> Column:
-    """A value that `_fits` in hundredths, as a long; the double is exact below 10^13."""
+    """A value in hundredths, as a long; the double is exact below 10^13."""
     value = F.col(name)
     as_double = value.cast("double")
     small = F.rint(as_double * 100).cast("long")
-    return F.when(
-        _fits(name),
-        F.when(F.abs(as_double) < 1e13, small).otherwise((value * 100).cast("long")),
-    )
+    is_small = _declared(value, 12) | (F.abs(as_double) < 1e13)
+    return F.when(is_small, small).otherwise((value * 100).cast("long"))
+
+
+def _low(value: Column) -> Column:
+    return value.bitwiseAND(F.lit((1 << _SPLIT_BITS) - 1))
+
+
+def _high(value: Column) -> Column:
+    return F.shiftright(value, _SPLIT_BITS)
+
+
+def _put_together(scale: int, *limbs: Column) -> Column:
+    """The decimal that sums of limbs, highest first, are in units of 10^-scale."""
+    whole = limbs[0].cast("decimal(20,0)")
+    for limb in limbs[1:]:
+        whole = (whole * F.lit(Decimal(1 << _SPLIT_BITS))).cast("decimal(38,0)") + limb
+    return (whole.cast("decimal(38,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal({24 + scale},{scale})")
 
 
 def _exact_sum(units: Column, scale: int) -> Column:
@@ -56,28 +84,17 @@ def _exact_sum(units: Column, scale: int) -> Column:
     the time of longs. A long sum would overflow on a large book. So the high and the low
     bits are summed apart, which is good for 10^12 loans, and put together in the result.
     """
-    high = F.sum(F.shiftright(units, _SPLIT_BITS))
-    low = F.sum(units.bitwiseAND(F.lit((1 << _SPLIT_BITS) - 1)))
-    whole = high.cast("decimal(20,0)") * F.lit(Decimal(1 << _SPLIT_BITS)) + low
-    return whole * F.lit(Decimal(1).scaleb(-scale))
-
-
-def _total(units: Column, scale: int, rest: Column) -> Column:
-    """Sum of `units` as longs, and of `rest`, a decimal for rows without units, by Spark's
-    own decimal sum. NULL where there is neither."""
-    longs, wide = _exact_sum(units, scale), F.sum(rest)
-    zero = F.lit(Decimal(0))
-    return F.when(longs.isNull(), wide).otherwise(longs + F.coalesce(wide, zero))
-
-
-def _wide(name: str) -> Column:
-    """A value for the decimal sum: up to six decimals, exact."""
-    return F.when(~_fits(name), F.col(name).cast("decimal(26,6)"))
+    return _put_together(scale, F.sum(_high(units)), F.sum(_low(units)))
 
 
-def money(name: str) -> Column:
-    """Exact sum of an amount."""
-    return _total(_hundredths(name), 2, _wide(name))
+def money(name: str, condition: Column | None = None) -> Column:
+    """Exact sum of an amount, or of the amounts where a condition holds (0 if it holds
+    nowhere). Types of more digits than the longs hold are summed as decimals."""
+    units, value = _hundredths(name), F.col(name)
+    if condition is not None:
+        units, value = (F.when(condition, x).otherwise(0) for x in (units, value))
+    fits = _declared(F.max(name), LONG_DIGITS)
+    return F.when(fits, _exact_sum(units, 2)).otherwise(F.sum(value))
 
 
 def amount() -> Column:
@@ -85,11 +102,7 @@ def amount() -> Column:
 
 
 def amount_where(condition: Column) -> Column:
-    return _total(
-        F.when(condition, _hundredths("loan_amount")).otherwise(0),
-        2,
-        F.when(condition, _wide("loan_amount")),
-    )
+    return money("loan_amount", condition)
 
 
 def loss() -> Column:
@@ -103,14 +116,17 @@ def expected_loss() -> Column:
 def income() -> Column:
     """One year of simple interest: amount times rate, which is in percent.
 
-    Products that a long does not hold, and finer decimals, take the decimal sum.
+    The amount's high and low bits are multiplied apart, so that products of all amounts and
+    rates that the types allow are exact in three sums of longs. Wider and finer types are
+    multiplied and summed as decimals.
     """
-    units = F.try_multiply(_hundredths("loan_amount"), _hundredths("interest_rate"))
-    amount_, rate = F.col("loan_amount").cast("decimal(22,6)"), F.col("interest_rate").cast("decimal(11,6)")
-    rest = F.when(units.isNull(), amount_ * rate)
-    percent = F.lit(Decimal("0.01"))
-    longs, wide = _exact_sum(units, 6), F.sum(rest) * percent
-    return F.when(longs.isNull(), wide).otherwise(longs + F.coalesce(wide, F.lit(Decimal(0))))
+    amount_, rate = _hundredths("loan_amount"), _hundredths("interest_rate")
+    lower = _low(amount_) * rate
+    upper = _high(amount_) * rate + _high(lower)
+    longs = _put_together(6, F.sum(_high(upper)), F.sum(_low(upper)), F.sum(_low(lower)))
+    fits = _declared(F.max("loan_amount"), LONG_DIGITS) & _declared(F.max("interest_rate"), RATE_DIGITS)
+    percent = F.col("interest_rate") * F.lit(Decimal("0.01"))
+    return F.when(fits, longs).otherwise(F.sum(F.col("loan_amount") * percent))
 
 
 def net_profit() -> Column:

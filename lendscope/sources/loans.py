@@ -43,7 +43,9 @@ def _conformed(df: DataFrame, field: T.StructField) -> Column:
             if own.scale > MOST_DECIMALS:
                 raise ValueError(f"{field.name} has {own.scale} decimals; sums keep {MOST_DECIMALS}")
             if own.scale > field.dataType.scale:
-                return column
+                # As many digits before the point as the schema has, which keeps products exact.
+                whole = field.dataType.precision - field.dataType.scale
+                return column.cast(T.DecimalType(min(own.precision, whole + own.scale), own.scale)).alias(field.name)
         else:
             finer = F.raise_error(F.lit(f"{field.name} has values of more than {field.dataType.scale} decimals"))
             same = cast.cast("double") == column.cast("double")
