@@ -1,6 +1,8 @@
 """Plain Python versions of what the operators compute, for small tables."""
 
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,3 +93,59 @@ def edit_distance(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
     return row[-1]
+
+
+def lexical(docs, items, k=20):
+    """(item_id, rank, doc_id, score) by the scores of the contract, all documents scored."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    own = [(i, Counter(term.findall((text or "").translate(UPPER)))) for i, text in docs]
+    own = [(i, c) for i, c in own if c]
+    n_docs, n_terms = len(own), sum(sum(c.values()) for _, c in own)
+    df = Counter(t for _, c in own for t in c)
+    out = []
+    for item, text in items:
+        asked = Counter(term.findall((text or "").translate(UPPER)))
+        scored = []
+        for i, c in own:
+            m = 75 + (25 * sum(c.values()) * n_docs) // n_terms
+            score = sum(
+                r * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                * ((10**9 * c[t]) // (1000 * c[t] + 12 * m))
+                for t, r in asked.items() if c[t]
+            )
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        out += [(item, rank, row[3], -row[0]) for rank, row in enumerate(sorted(scored)[:k], 1)]
+    return out
+
+
+def runs(own, min_length=24, min_exponent=3):
+    """(start, length, period) of each run of a list of words, by start and period."""
+    found = {}
+    for q in range(1, len(own) // min_exponent + 1):
+        i = 0
+        while i + q < len(own):
+            j = i
+            while j + q < len(own) and own[j] == own[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(min_length, min_exponent * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((i, n, q) for (i, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def made_periodic(i, text):
+    """The words of a document as the contract of the query on runs changes them."""
+    own = WORD.findall(text or "")
+    h = zlib.crc32(str(i).encode()) if i is not None else 1
+    if h % 10 or not own:
+        return own
+    g, n = h // 10, len(own)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [own[k] if k < a else own[a + (k - a) % p] for k in range(n)]
+
+
+def collapsed(own, found):
+    gone = {k for start, length, period in found for k in range(start + period, start + length)}
+    return " ".join(w for k, w in enumerate(own) if k not in gone)
