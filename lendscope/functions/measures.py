@@ -18,6 +18,10 @@ NON_PERFORMING = ("Defaulted", "Written Off")
 PAR_DAYS = 30
 _SPLIT_BITS = 20
 
+#: Figures that are doubles are averaged over their sum in this type: those of 10^18 and above
+#: end the query.
+_FIGURE = "decimal(28,10)"
+
 #: Digits before the point that a long of hundredths holds with any two decimals, and those of
 #: a rate whose product with the high bits of such an amount is still a long.
 LONG_DIGITS, RATE_DIGITS = 16, 4
@@ -142,7 +146,17 @@ def mean_of_means(name: str | Column) -> Column:
     """Average of figures that are doubles, over their sum as decimals: the same whatever
     order the rows come in."""
     value = F.col(name) if isinstance(name, str) else name
-    return ratio(F.sum(value.cast("decimal(28,10)")), F.count(value))
+    return ratio(F.sum(value.cast(_FIGURE)), F.count(value))
+
+
+def exact_mean(name: str) -> Column:
+    """Sum and count of figures that are doubles, for `merged_mean` to put together."""
+    return F.struct(F.sum(F.col(name).cast(_FIGURE)).alias("sum"), F.count(name).alias("count"))
+
+
+def merged_mean(name: str) -> Column:
+    """Average of figures from several `exact_mean`s: the same as `mean_of_means` over all."""
+    return ratio(F.sum(F.col(name)["sum"]), F.sum(F.col(name)["count"]))
 
 
 def mean_money(name: str) -> Column:

@@ -19,7 +19,7 @@ from lendscope.functions import measures as m
 from lendscope.functions.numbers import joined, label, pct, ratio, round_to
 from lendscope.operators import categories as cat
 from lendscope.operators.customer_grain import customer_metrics
-from lendscope.operators.median import exact_medians
+from lendscope.operators.median import brackets, inside, middle, side
 from lendscope.operators.skew import HOT_ROWS, loan_sequence, with_previous_count
 from lendscope.operators.topk import ranked, restrict_to_top
 
@@ -477,7 +477,12 @@ def strategic_action(value: Column, risk: Column) -> Column:
 
 
 def profitability_matrix(loans: DataFrame, risky_dpd: int = 15) -> DataFrame:
-    """Customers in quadrants of value and risk, split at the exact medians."""
+    """Customers in quadrants of value and risk, split at the exact medians.
+
+    Two passes over the customers: one for brackets of the medians, one that sums customers by
+    the side of both brackets they lie on. Those inside a bracket, which are few, stay apart by
+    value, so the medians and the quadrants both follow from these sums.
+    """
     customers = customer_metrics(
         loans,
         "total_loans",
@@ -488,46 +493,63 @@ def profitability_matrix(loans: DataFrame, risky_dpd: int = 15) -> DataFrame:
         "net_profit",
         "avg_days_past_due",
     )
-    medians = exact_medians(customers, "net_profit", "avg_risk_score")
-    middle = medians.select(F.struct("net_profit", "avg_risk_score")).scalar()
-    valuable = F.col("net_profit").cast("double") >= F.col("middle.net_profit")
-    risky = (F.col("avg_risk_score") >= F.col("middle.avg_risk_score")) | (
-        F.col("avg_days_past_due") > risky_dpd
+    split = {"value": F.col("net_profit").cast("double"), "risk": F.col("avg_risk_score")}
+    found = brackets(customers, "net_profit", "avg_risk_score")
+    bracket = {"value": F.col("brackets.net_profit"), "risk": F.col("brackets.avg_risk_score")}
+    cells = (
+        customers.withColumn("brackets", found)
+        .groupBy(
+            *(side(split[name], bracket[name]).alias(f"{name}_side") for name in split),
+            *(inside(split[name], bracket[name]).alias(name) for name in split),
+            F.coalesce(F.col("avg_days_past_due") > risky_dpd, F.lit(False)).alias("late"),
+        )
+        .agg(
+            m.loans().alias("customer_count"),
+            *(F.sum(name).alias(name) for name in ("total_loans", "total_borrowed", "total_revenue")),
+            *(F.sum(name).alias(name) for name in ("total_loss", "net_profit")),
+            *(m.exact_mean(name).alias(name) for name in ("avg_risk_score", "avg_days_past_due")),
+        )
     )
+    middles = {
+        f"{name}_middle": middle(F.col(f"{name}_side"), F.col(name), F.col("customer_count")) for name in split
+    }
+
+    def high(name: str) -> Column:
+        of_side = F.col(f"{name}_side")
+        return (of_side == 1) | ((of_side == 0) & (F.col(name) >= F.col(f"{name}_middle")))
+
     return (
-        customers.withColumn("middle", middle)
+        cells.withColumns(middles)
         .withColumns(
             {
-                "value_segment": F.when(valuable, "High Value").otherwise("Low Value"),
-                "risk_segment": F.when(risky, "High Risk").otherwise("Low Risk"),
+                "value_segment": F.when(high("value"), "High Value").otherwise("Low Value"),
+                "risk_segment": F.when(high("risk") | F.col("late"), "High Risk").otherwise("Low Risk"),
             }
         )
         .groupBy("value_segment", "risk_segment")
         .agg(
-            m.loans().alias("customer_count"),
+            F.sum("customer_count").alias("customer_count"),
             F.sum("total_loans").alias("total_loans"),
-            F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
-            round_to(m.mean("total_borrowed"), 0).alias("avg_customer_value"),
-            round_to(m.mean_of_means("avg_risk_score"), 0).alias("avg_risk_score"),
-            round_to(F.sum("total_revenue"), 2).alias("total_revenue"),
-            round_to(F.sum("total_loss"), 2).alias("total_loss"),
-            round_to(F.sum("net_profit"), 2).alias("total_net_profit"),
-            round_to(m.mean("net_profit"), 0).alias("avg_profit_per_customer"),
-            round_to(m.mean_of_means("avg_days_past_due"), 1).alias("avg_days_past_due"),
+            F.sum("total_borrowed").alias("total_borrowed"),
+            m.merged_mean("avg_risk_score").alias("avg_risk_score"),
+            F.sum("total_revenue").alias("total_revenue"),
+            F.sum("total_loss").alias("total_loss"),
+            F.sum("net_profit").alias("net_profit"),
+            m.merged_mean("avg_days_past_due").alias("avg_days_past_due"),
         )
         .select(
             F.concat_ws(" / ", "value_segment", "risk_segment").alias("customer_quadrant"),
             "customer_count",
             m.share_of_rows("customer_count").alias("pct_of_customers"),
             "total_loans",
-            "total_portfolio_value",
-            "avg_customer_value",
-            "avg_risk_score",
-            "total_revenue",
-            "total_loss",
-            "total_net_profit",
-            "avg_profit_per_customer",
-            "avg_days_past_due",
+            F.col("total_borrowed").cast("double").alias("total_portfolio_value"),
+            round_to(ratio(F.col("total_borrowed"), F.col("customer_count")), 0).alias("avg_customer_value"),
+            round_to(F.col("avg_risk_score"), 0).alias("avg_risk_score"),
+            round_to(F.col("total_revenue"), 2).alias("total_revenue"),
+            round_to(F.col("total_loss"), 2).alias("total_loss"),
+            round_to(F.col("net_profit"), 2).alias("total_net_profit"),
+            round_to(ratio(F.col("net_profit"), F.col("customer_count")), 0).alias("avg_profit_per_customer"),
+            round_to(F.col("avg_days_past_due"), 1).alias("avg_days_past_due"),
             strategic_action(F.col("value_segment"), F.col("risk_segment")).alias("strategic_action"),
         )
         .orderBy(F.desc("total_net_profit"), "customer_quadrant")
