@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lendscope.operators import customer as c
 from lendscope.operators import primitives as o
 from lendscope.operators.customer_grain import customer_metrics
-from lendscope.operators.skew import hot_customers, join_customers, loan_sequence
+from lendscope.operators.skew import hot_customers, in_slices, join_customers, loan_sequence, split_hot
 from lendscope.sources.loans import load_loans
 from tests.conftest import SMALL
 
@@ -79,12 +79,41 @@ def test_previous_count_equals_lag(skewed):
     assert got == want.collect()
 
 
-def test_no_window_sees_a_whole_hot_customer(skewed):
-    """The largest window group of a sliced customer is about one slice."""
-    hot_rows = 50
-    one_day = skewed.where("customer_id = 7").withColumn("origination_date", F.lit("2000-01-01").cast("date"))
-    hot = hot_customers(one_day, hot_rows).first()
-    place = (F.col("loan_id") - hot["id_from"]) / hot["id_span"]
-    sizes = one_day.groupBy(F.floor(place * hot["slices"])).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 2 * hot_rows
-    assert rows(loan_sequence(one_day, hot_rows)) == rows(plain_sequence(one_day))
+CROWDS = {
+    "one day": ("cast('2000-01-01' as date)", "loan_id"),
+    # Nine in ten ids lie in a hundredth of their span.
+    "ids": ("cast('2000-01-01' as date)", "if(loan_id % 10 = 0, loan_id * 1000, loan_id)"),
+    "days": ("date_add('2000-01-01', int(if(loan_id % 10 = 0, loan_id, 3)))", "loan_id"),
+    "no ids": ("cast('2000-01-01' as date)", "if(loan_id % 10 = 0, loan_id, null)"),
+}
+
+
+@pytest.mark.parametrize("case", CROWDS)
+def test_slices_are_of_about_equal_size(spark, case):
+    """However dates and ids crowd, the largest slice is at most twice the mean."""
+    hot_rows, n = 2_000, 60_000
+    loans = spark.range(n).selectExpr(
+        "id as loan_id", "7L as customer_id", "cast(id as decimal(18,2)) as loan_amount", "cast(id % 90 as int) as days_past_due"
+    )
+    day, number = CROWDS[case]
+    crowd = loans.selectExpr(
+        "customer_id", "loan_amount", "days_past_due", f"{day} as origination_date", f"{number} as loan_id"
+    )
+    _, hot = split_hot(crowd, hot_rows)
+    sizes = [r["count"] for r in in_slices(hot, hot_rows).groupBy("slice").count().collect()]
+    assert len(sizes) == 30 and sum(sizes) == n
+    assert max(sizes) <= 2 * n / 30
+    if case != "no ids":
+        assert rows(loan_sequence(crowd, hot_rows)) == rows(plain_sequence(crowd))
+
+
+def test_slices_follow_the_order(skewed):
+    _, hot = split_hot(skewed, 20)
+    ends = (
+        in_slices(hot, 20)
+        .groupBy("customer_id", "slice")
+        .agg(F.min("place").alias("low"), F.max("place").alias("high"))
+        .withColumn("before", F.lag("high").over(Window.partitionBy("customer_id").orderBy("slice")))
+    )
+    assert ends.count() > 10
+    assert ends.where("before >= low").count() == 0
