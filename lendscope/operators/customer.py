@@ -278,10 +278,34 @@ def _over_text(loans: DataFrame, text: str, **more: Column) -> DataFrame:
     )
 
 
-def product_affinity(loans: DataFrame) -> DataFrame:
-    """Customers, value and margin of each combination of products held."""
-    customers = _over_text(loans, "product_type", held=m.distinct_values("product_type"))
-    sets = customers.groupBy("held").agg(
+# Names that make so few sets (65,536) that one task may see them all.
+_FEW_NAMES = 16
+
+
+def product_affinity(loans: DataFrame, most_names: int = cat.MOST_NAMES) -> DataFrame:
+    """Customers, value and margin of each combination of products held.
+
+    Up to `most_names` products, which a job over their column looks up first, sets are bits;
+    more products are aggregated by customer and text.
+    """
+    products = cat.coded(loans, "product_type", most_names)
+    if products is None:
+        customers = _over_text(loans, "product_type", held=m.distinct_values("product_type"))
+        keys, held = ["held"], F.col("held")
+    else:
+        masks = products.masks()
+        customers = customer_metrics(
+            loans,
+            "total_loans",
+            "total_borrowed",
+            "avg_interest_rate",
+            "total_revenue",
+            "total_loss",
+            "avg_days_past_due",
+            **masks,
+        )
+        keys, held = list(masks), products.held()
+    sets = customers.groupBy(*keys).agg(
         m.loans().alias("customer_count"),
         F.sum("total_loans").alias("total_loans"),
         F.sum("total_borrowed").cast("double").alias("total_portfolio_value"),
@@ -292,14 +316,17 @@ def product_affinity(loans: DataFrame) -> DataFrame:
         _margin().alias("net_margin_pct"),
         round_to(m.mean_of_means("avg_days_past_due"), 1).alias("avg_days_past_due"),
     )
-    # There may be nearly as many sets as customers, so their total is an aggregate, not a
-    # window that takes all of them to one task.
-    everyone = sets.agg(F.sum("customer_count")).scalar()
-    return sets.select(
+    if products is not None and len(products.names) <= _FEW_NAMES:
+        share = m.share_of_rows("customer_count")
+    else:
+        # There may be nearly as many sets as customers, so their total is an aggregate, not a
+        # window that takes all of them to one task.
+        share = pct(F.col("customer_count"), sets.agg(F.sum("customer_count")).scalar())
+    return sets.withColumn("held", held).select(
         joined(F.col("held")).alias("product_combination"),
         F.size("held").cast("long").alias("number_of_products"),
         "customer_count",
-        pct(F.col("customer_count"), everyone).alias("pct_of_customers"),
+        share.alias("pct_of_customers"),
         "total_loans",
         "total_portfolio_value",
         "avg_customer_value",
@@ -315,14 +342,37 @@ def _margin() -> Column:
     return pct(F.sum("total_revenue") - F.sum("total_loss"), F.sum("total_borrowed"))
 
 
-def channel_acquisition(loans: DataFrame, as_of: date | None = None) -> DataFrame:
-    """Customers by the channel of their first loan, and what became of them."""
-    customers = _over_text(
-        loans,
-        "channel",
-        first_channel=F.min_by("channel", "place"),
-        channels=F.count("channel"),
-    ).withColumn("age_days", m.days_since(F.col("first_loan_date"), as_of))
+def channel_acquisition(
+    loans: DataFrame, as_of: date | None = None, most_names: int = cat.MOST_NAMES
+) -> DataFrame:
+    """Customers by the channel of their first loan, and what became of them.
+
+    Channels are coded like the products of `product_affinity`.
+    """
+    channels = cat.coded(loans, "channel", most_names)
+    if channels is None:
+        customers = _over_text(
+            loans,
+            "channel",
+            first_channel=F.min_by("channel", "place"),
+            channels=F.count("channel"),
+        )
+    else:
+        customers = customer_metrics(
+            loans,
+            "total_loans",
+            "total_borrowed",
+            "total_revenue",
+            "total_loss",
+            "first_loan_date",
+            "avg_risk_score",
+            "avg_days_past_due",
+            first=channels.first(),
+            **channels.masks(),
+        ).withColumns(
+            {"first_channel": channels.name_of_first(F.col("first")), "channels": channels.size()}
+        )
+    customers = customers.withColumn("age_days", m.days_since(F.col("first_loan_date"), as_of))
     multi_channel = F.count_if(F.col("channels") > 1)
     return (
         customers.groupBy("first_channel")

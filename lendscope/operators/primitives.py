@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions import measures as m
 from lendscope.functions.numbers import band, joined, pct, place_in, round_to
+from lendscope.operators import categories as cat
 from lendscope.operators import customer as c
 from lendscope.operators import portfolio as p
 from lendscope.operators.customer_grain import customer_metrics, first_of, latest_of
@@ -256,11 +257,17 @@ def max_string(loans: DataFrame) -> DataFrame:
     )
 
 
-def string_agg(loans: DataFrame) -> DataFrame:
-    return customer_metrics(loans, "products", "statuses").select(
-        "customer_id",
-        joined(F.col("products")).alias("product_mix"),
-        joined(F.col("statuses")).alias("loan_statuses"),
+def string_agg(loans: DataFrame, most_names: int = cat.MOST_NAMES) -> DataFrame:
+    found = {name: cat.coded(loans, name, most_names) for name in ("product_type", "status")}
+    sets = {}
+    for name, names in found.items():
+        sets |= {name: m.distinct_values(name)} if names is None else names.masks()
+
+    def listed(name: str) -> Column:
+        return joined(F.col(name) if found[name] is None else found[name].held())
+
+    return customer_metrics(loans, **sets).select(
+        "customer_id", listed("product_type").alias("product_mix"), listed("status").alias("loan_statuses")
     )
 
 

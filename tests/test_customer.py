@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lendscope.functions import measures as m
 from lendscope.operators import customer as c
 from lendscope.operators.customer_grain import customer_metrics
-from lendscope.operators.median import exact_medians
+from lendscope.operators import categories as cat
+from lendscope.operators.median import brackets, exact_medians, inside
 from tests.conftest import by
 
 TODAY = date(2024, 3, 1)
@@ -295,6 +296,57 @@ def test_exact_median_of_any_shape(spark, expression):
     assert exact_medians(df, "a").first() == df.agg(F.percentile("a", F.lit(0.5)).alias("a")).first()
 
 
+@pytest.mark.parametrize("accuracy", [10, 100, 1_000])
+def test_exact_median_from_a_coarse_sketch(spark, accuracy):
+    df = spark.range(30_001).repartition(7).selectExpr(
+        "cast(pmod(id * 7919, 20011) as double) as a", "cast(if(id % 3 = 0, 5, id) as double) as b"
+    )
+    got = exact_medians(df, "a", "b", accuracy=accuracy).first()
+    assert got == df.agg(F.percentile("a", F.lit(0.5)).alias("a"), F.percentile("b", F.lit(0.5)).alias("b")).first()
+
+
+def test_few_values_lie_inside_the_bracket(spark):
+    df = spark.range(100_000).repartition(5).selectExpr("cast(id as double) as a")
+    bracket = df.withColumn("b", brackets(df, "a", accuracy=1_000))
+    kept = bracket.where(inside(F.col("a"), F.col("b.a")).isNotNull())
+    assert 0 < kept.count() <= 100_000 * 8 / 1_000
+
+
+def test_products_beyond_the_coded_ones(make_loans):
+    rows = [{"customer_id": k % 7, "product_type": f"p{k % 40:02}" if k % 9 else None, "channel": f"c{k % 5}"} for k in range(300)]
+    loans = make_loans(*rows)
+    by_bits, by_text = c.product_affinity(loans), c.product_affinity(loans, most_names=3)
+    assert by_bits.collect() == by_text.collect()
+    assert c.product_affinity(loans, most_names=40).collect() == by_text.collect()
+    assert c.channel_acquisition(loans, TODAY).collect() == c.channel_acquisition(loans, TODAY, most_names=2).collect()
+
+
+def test_sets_of_two_longs(make_loans):
+    rows = [{"customer_id": k % 3, "product_type": f"p{k:03}"} for k in range(100)]
+    got = by("number_of_products", c.product_affinity(make_loans(*rows)))
+    assert got[34]["product_combination"] == ", ".join(f"p{k:03}" for k in range(0, 100, 3))
+    assert got[34]["customer_count"] == 1 and set(got) == {33, 34}
+
+
+def test_names_that_come_later_end_the_query(make_loans):
+    names = cat.coded(make_loans({"product_type": "SME"}), "product_type")
+    later = make_loans({"product_type": "SME"}, {"product_type": "New"})
+    with pytest.raises(Exception, match="a name that was not there before: New"):
+        later.groupBy("customer_id").agg(*(x.alias(n) for n, x in names.masks().items())).collect()
+    nothing = make_loans({"product_type": None})
+    assert c.product_affinity(nothing).first()["number_of_products"] == 0
+
+
+def test_first_channel_of_equal_places(make_loans):
+    loans = make_loans(
+        {"loan_id": 1, "channel": "Online"}, {"loan_id": 1, "channel": "Agent"}, {"loan_id": 2, "channel": None},
+        {"loan_id": 0, "customer_id": 2, "channel": None}, {"loan_id": 5, "customer_id": 2, "channel": "Agent"},
+        {"loan_id": -4, "customer_id": 3, "channel": "Agent"}, {"loan_id": -5, "customer_id": 3, "channel": "Online"},
+    )
+    got = {r["acquisition_channel"]: r["customers_acquired"] for r in c.channel_acquisition(loans, TODAY).collect()}
+    assert got == {"Agent": 1, None: 1, "Online": 1}
+
+
 def test_thresholds(make_loans):
     loans = make_loans(*loans_of(1, {"days_past_due": 20, "risk_score": 690}))
     assert c.early_warning(loans, TODAY, arrears_share=1.0).count() == 0

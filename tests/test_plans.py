@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lendscope import read_loans
 from lendscope.plans.catalog import CATALOG
@@ -55,11 +56,31 @@ def test_cohorts_read_loans_once(stored):
 
 def test_matrix_keeps_customers_out_of_a_single_task(stored):
     text = plan(CATALOG["profitability_matrix"](stored))
-    assert "percentile(" not in text
+    assert not re.search(r"(?<!approx_)percentile\(", text)
+    # One pass for the brackets, one for everything else.
+    assert text.count("FileScan") == 2
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["product_affinity", "channel_acquisition", "op_string_agg"])
+def test_sets_of_known_names_are_hashed(stored, name):
+    text = plan(CATALOG[name](stored))
+    assert "HashAggregate" in text
+    assert "ObjectHashAggregate" not in text and "SortAggregate" not in text
+    assert text.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name", ["customer_segmentation", "portfolio_overview", "op_conditional_sum"])
+def test_money_is_summed_in_longs_where_its_type_allows(stored, name):
+    buffers = re.findall(r"partial_sum\(([^)]*)", plan(CATALOG[name](stored)))
+    assert buffers
+    finer = stored.withColumn("loan_amount", F.col("loan_amount").cast("decimal(20,4)"))
+    # Decimals are summed in plans over finer types, and in no others.
+    assert "partial_sum(loan_amount" not in plan(CATALOG[name](stored))
+    assert re.search(r"partial_sum\((loan_amount|CASE WHEN \(days_past_due#\d+ > \d+\) THEN loan_amount)", plan(CATALOG[name](finer)))
+
+
 @pytest.mark.parametrize("name", sorted(CATALOG))
 def test_no_python_and_no_cross_join(stored, name):
     text = plan(CATALOG[name](stored))
