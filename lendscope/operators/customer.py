@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions import measures as m
 from lendscope.functions.numbers import joined, label, pct, ratio, round_to
+from lendscope.functions.rules import Points, RuleTable, Score, Test, rule
 from lendscope.operators import categories as cat
 from lendscope.operators.customer_grain import customer_metrics
 from lendscope.operators.median import brackets, inside, middle, side
@@ -27,24 +28,33 @@ from lendscope.operators.topk import ranked, restrict_to_top
 CLV_TIERS = ((50_000, "Platinum"), (30_000, "Gold"), (15_000, "Silver"))
 
 
-def customer_segment() -> Column:
-    """The first segment whose rule a customer meets; the rules overlap."""
-    count, dpd = F.col("total_loans"), F.col("avg_days_past_due")
-    lossless, on_time = F.col("total_loss") == 0, dpd == 0
-    return label(
-        [
-            ((count >= 3) & lossless & on_time, "VIP - High Value"),
-            ((count >= 2) & lossless & (dpd < 15), "Premium - Good Standing"),
-            ((count == 1) & lossless & on_time, "New - Performing"),
-            ((F.col("total_loss") > 0) | (dpd > 60), "High Risk - Attention Needed"),
-            (dpd > 30, "At Risk - Monitor"),
-        ],
-        "Standard - Regular",
-    )
+# The rules overlap, the first one counts.
+SEGMENTS = RuleTable(
+    (
+        rule("VIP - High Value", ("total_loans", ">=", 3), ("total_loss", "=", 0), ("avg_days_past_due", "=", 0)),
+        rule("Premium - Good Standing", ("total_loans", ">=", 2), ("total_loss", "=", 0), ("avg_days_past_due", "<", 15)),
+        rule("New - Performing", ("total_loans", "=", 1), ("total_loss", "=", 0), ("avg_days_past_due", "=", 0)),
+        rule(
+            "High Risk - Attention Needed",
+            alternatives=([("total_loss", ">", 0)], [("avg_days_past_due", ">", 60)]),
+        ),
+        rule("At Risk - Monitor", ("avg_days_past_due", ">", 30)),
+    ),
+    "Standard - Regular",
+)
+
 
+def customer_segment(segments: RuleTable = SEGMENTS) -> Column:
+    """The first segment whose rule a customer meets."""
+    return segments.first()
 
-def customer_segmentation(loans: DataFrame, as_of: date | None = None) -> DataFrame:
-    """Size, value, return and delinquency of each customer segment."""
+
+def customer_segmentation(
+    loans: DataFrame, as_of: date | None = None, segments: RuleTable = SEGMENTS
+) -> DataFrame:
+    """Size, value, return and delinquency of each customer segment.
+
+    The rules of `segments` may use any of the measures below."""
     customers = customer_metrics(
         loans,
         "total_loans",
@@ -60,7 +70,7 @@ def customer_segmentation(loans: DataFrame, as_of: date | None = None) -> DataFr
     return (
         customers.withColumns(
             {
-                "customer_segment": customer_segment(),
+                "customer_segment": customer_segment(segments),
                 "profitability_pct": pct(F.col("net_profit"), F.col("total_borrowed")),
                 "tenure_days": m.days_since(F.col("first_loan_date"), as_of),
             }
@@ -455,16 +465,21 @@ def flag_texts() -> Column:
     )
 
 
-def warning_category(flags: Column) -> Column:
-    return label(
-        [
-            (flags >= 4, "Critical - Immediate Action"),
-            (flags == 3, "High Risk - Urgent Attention"),
-            (flags == 2, "Medium Risk - Monitor Closely"),
-            (flags == 1, "Low Risk - Watch"),
-        ],
-        "Healthy - No Action",
-    )
+# What a number of raised flags is called.
+WARNING_CATEGORIES = RuleTable(
+    (
+        rule("Critical - Immediate Action", ("total_risk_flags", ">=", 4)),
+        rule("High Risk - Urgent Attention", ("total_risk_flags", "=", 3)),
+        rule("Medium Risk - Monitor Closely", ("total_risk_flags", "=", 2)),
+        rule("Low Risk - Watch", ("total_risk_flags", "=", 1)),
+    ),
+    "Healthy - No Action",
+)
+
+
+def warning_category(categories: RuleTable = WARNING_CATEGORIES) -> Column:
+    """The category of a customer with `total_risk_flags`."""
+    return categories.first()
 
 
 def early_warning(
@@ -474,11 +489,12 @@ def early_warning(
     mean_dpd: int = 30,
     risk_score: int = 700,
     arrears_share: float = 0.5,
+    categories: RuleTable = WARNING_CATEGORIES,
 ) -> DataFrame:
     """Customers with at least one warning flag, most flags and largest exposure first.
 
-    `n` rows at most; all flagged customers when `n` is None. The last three are the limits
-    of `warning_flags`.
+    `n` rows at most; all flagged customers when `n` is None. The next three are the limits
+    of `warning_flags`; the rules of `categories` may use the flags and their total.
     """
     order = [F.desc("total_risk_flags"), F.desc("total_borrowed"), F.asc("customer_id")]
 
@@ -508,7 +524,7 @@ def early_warning(
         joined(F.col("products")).alias("products"),
         joined(F.col("statuses")).alias("loan_statuses"),
         "total_risk_flags",
-        warning_category(F.col("total_risk_flags")).alias("risk_category"),
+        warning_category(categories).alias("risk_category"),
         flag_texts().alias("risk_indicators"),
     )
 
@@ -647,24 +663,31 @@ def acquisition_cohorts(loans: DataFrame, as_of: date | None = None) -> DataFram
 HEALTH_MEASURES = ("avg_days_past_due", "loans_par_30", "total_loss", "total_loans", "products")
 
 
-def health_score() -> Column:
+# What a customer's health gains and loses.
+HEALTH = Score(
+    100,
+    (
+        Points(Test("avg_days_past_due", ">", 0), -0.5, per="avg_days_past_due"),
+        Points(Test("loans_par_30", ">", 0), -10, per="loans_par_30"),
+        Points(Test("total_loss", ">", 0), -20),
+        Points(Test("total_loans", ">", 2), 10),
+        Points(Test("size(products)", ">", 1), 5),
+    ),
+)
+
+
+def health_score(health: Score = HEALTH) -> Column:
     """A rule-based score around 100, over `HEALTH_MEASURES`; it is not clamped."""
-    dpd, late = F.col("avg_days_past_due"), F.col("loans_par_30")
-    return round_to(
-        F.lit(100)
-        - F.when(dpd > 0, dpd * 0.5).otherwise(0)
-        - F.when(late > 0, late * 10).otherwise(0)
-        - F.when(F.col("total_loss") > 0, 20).otherwise(0)
-        + F.when(F.col("total_loans") > 2, 10).otherwise(0)
-        + F.when(F.size("products") > 1, 5).otherwise(0),
-        0,
-    )
+    return round_to(health.value(), 0)
 
 
-def top_customers(loans: DataFrame, as_of: date | None = None, n: int | None = 30) -> DataFrame:
+def top_customers(
+    loans: DataFrame, as_of: date | None = None, n: int | None = 30, health: Score = HEALTH
+) -> DataFrame:
     """Full profile of the customers of highest lifetime value.
 
-    `n` rows at most; all customers when `n` is None.
+    `n` rows at most; all customers when `n` is None. The terms of `health` may use any of the
+    measures below.
     """
     kept, order = _top_by_value(loans, n)
     customers = customer_metrics(
@@ -721,6 +744,6 @@ def top_customers(loans: DataFrame, as_of: date | None = None, n: int | None = 3
         joined(F.col("channels")).alias("channel_mix"),
         joined(F.col("tiers")).alias("risk_tiers"),
         joined(F.col("statuses")).alias("loan_statuses"),
-        health_score().alias("customer_health_score"),
+        health_score(health).alias("customer_health_score"),
     )
     return ranked(profiles, order, n)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions import measures as m
-from lendscope.functions.numbers import band, band_names, label, pct, place_in, round_to
+from lendscope.functions.numbers import band, band_names, pct, place_in, round_to
+from lendscope.functions.rules import RuleTable, rule
 from lendscope.operators.topk import ranked, restrict_to_top
 
 # Fixed values, in the order reports list them.
@@ -24,15 +25,26 @@ SCORE_EDGES = (600, 650, 700, 750)
 PAR_LADDER = (0, 30, 60, 90)
 
 
-def portfolio_overview(loans: DataFrame) -> DataFrame:
+def ladder_names(ladder: Sequence[int] = PAR_LADDER) -> dict[int, str]:
+    """What columns call the loans of more days past due than each step of a ladder."""
+    if len(ladder) < 2 or list(ladder) != sorted(set(ladder)):
+        raise ValueError(f"a ladder rises in two steps at least: {ladder}")
+    return {days: f"par_{days}" if days else "in_arrears" for days in ladder}
+
+
+def portfolio_overview(loans: DataFrame, ladder: Sequence[int] = PAR_LADDER) -> DataFrame:
     """One row of key figures for the whole portfolio.
 
+    `ladder` has the days past due that loans and amounts are counted beyond; the first step
+    is what counts as arrears, and there are rates for the first, the second and the last.
+
     The sums need no shuffle beyond one row per task. The two distinct counts do, so
     they run as scalar subqueries that read the ids alone: inside the same aggregate they
     would multiply every row by three and carry all its sums through the shuffle.
     """
     tier_names = {tier: tier.lower() for tier in reversed(RISK_TIERS)}
-    arrears = dict(zip(PAR_LADDER, ("in_arrears", "par_30", "par_60", "par_90")))
+    arrears = ladder_names(ladder)
+    names = list(arrears.values())
     sums = loans.agg(
         m.amount().alias("total_portfolio_value"),
         m.mean_money("loan_amount").alias("avg_loan_size"),
@@ -83,10 +95,9 @@ def portfolio_overview(loans: DataFrame) -> DataFrame:
         "defaulted_loans",
         *(money(f"amount_{name}") for name in arrears.values()),
         money("defaulted_amount"),
-        of_loans("loans_in_arrears", "arrears_rate_pct"),
-        of_value(F.col("amount_in_arrears"), "par_rate_pct"),
-        of_value(F.col("amount_par_30"), "par_30_rate_pct"),
-        of_value(F.col("amount_par_90"), "par_90_rate_pct"),
+        of_loans(f"loans_{names[0]}", "arrears_rate_pct"),
+        of_value(F.col(f"amount_{names[0]}"), "par_rate_pct"),
+        *(of_value(F.col(f"amount_{name}"), f"{name}_rate_pct") for name in dict.fromkeys((names[1], names[-1]))),
         of_loans("defaulted_loans", "default_rate_pct"),
         of_value(F.col("defaulted_amount"), "default_amount_pct"),
         money("total_expected_loss"),
@@ -125,37 +136,38 @@ def par_bucket_distribution(loans: DataFrame) -> DataFrame:
     )
 
 
+def profile(loans: DataFrame, dimension: str | Column, **measures: Column) -> DataFrame:
+    """Loans, value and mean rate of each value of a dimension, and more measures."""
+    by = F.col(dimension) if isinstance(dimension, str) else dimension
+    return loans.groupBy(by).agg(
+        m.loans().alias("loan_count"),
+        m.amount().cast("double").alias("portfolio_value"),
+        round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate"),
+        *(measure.alias(name) for name, measure in measures.items()),
+    )
+
+
 def risk_tier_profitability(loans: DataFrame) -> DataFrame:
     """Interest income, loss and net return of each risk tier, from low to high."""
-    return (
-        loans.groupBy("risk_tier")
-        .agg(
-            m.loans().alias("loan_count"),
-            m.amount().cast("double").alias("portfolio_value"),
-            round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate"),
-            round_to(m.income(), 2).alias("estimated_interest_income"),
-            round_to(m.loss(), 2).alias("total_actual_loss"),
-            m.net_return().alias("net_return_pct"),
-        )
-        .orderBy(place_in(F.col("risk_tier"), RISK_TIERS), "risk_tier")
-    )
+    return profile(
+        loans,
+        "risk_tier",
+        estimated_interest_income=round_to(m.income(), 2),
+        total_actual_loss=round_to(m.loss(), 2),
+        net_return_pct=m.net_return(),
+    ).orderBy(place_in(F.col("risk_tier"), RISK_TIERS), "risk_tier")
 
 
 def product_performance(loans: DataFrame) -> DataFrame:
     """Delinquency, loss and return of each product, largest first."""
-    return (
-        loans.groupBy("product_type")
-        .agg(
-            m.loans().alias("loan_count"),
-            m.amount().cast("double").alias("portfolio_value"),
-            round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate"),
-            F.count_if(m.overdue()).alias("loans_par_30_plus"),
-            m.par_rate().alias("par_30_rate_pct"),
-            m.loss_rate().alias("loss_rate_pct"),
-            m.net_return().alias("net_return_pct"),
-        )
-        .orderBy(F.desc("portfolio_value"), "product_type")
-    )
+    return profile(
+        loans,
+        "product_type",
+        loans_par_30_plus=F.count_if(m.overdue()),
+        par_30_rate_pct=m.par_rate(),
+        loss_rate_pct=m.loss_rate(),
+        net_return_pct=m.net_return(),
+    ).orderBy(F.desc("portfolio_value"), "product_type")
 
 
 def monthly_origination_trend(loans: DataFrame) -> DataFrame:
@@ -174,20 +186,27 @@ def monthly_origination_trend(loans: DataFrame) -> DataFrame:
 
 def channel_performance(loans: DataFrame) -> DataFrame:
     """Size, risk mix, delinquency and return of each channel, largest first."""
+    by_tier = {f"{tier.lower()}_risk_count": F.count_if(F.col("risk_tier") == tier) for tier in RISK_TIERS}
     return (
-        loans.groupBy("channel")
-        .agg(
-            m.loans().alias("loan_count"),
-            m.amount().cast("double").alias("portfolio_value"),
-            round_to(m.mean_money("loan_amount"), 0).alias("avg_loan_size"),
-            round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate"),
-            *(
-                F.count_if(F.col("risk_tier") == tier).alias(f"{tier.lower()}_risk_count")
-                for tier in RISK_TIERS
-            ),
-            m.par_rate().alias("par_30_rate_pct"),
-            m.loss_rate().alias("loss_rate_pct"),
-            m.net_return().alias("net_return_pct"),
+        profile(
+            loans,
+            "channel",
+            avg_loan_size=round_to(m.mean_money("loan_amount"), 0),
+            **by_tier,
+            par_30_rate_pct=m.par_rate(),
+            loss_rate_pct=m.loss_rate(),
+            net_return_pct=m.net_return(),
+        )
+        .select(
+            "channel",
+            "loan_count",
+            "portfolio_value",
+            "avg_loan_size",
+            "avg_interest_rate",
+            *by_tier,
+            "par_30_rate_pct",
+            "loss_rate_pct",
+            "net_return_pct",
         )
         .orderBy(F.desc("portfolio_value"), "channel")
     )
@@ -214,23 +233,45 @@ def loan_status_breakdown(loans: DataFrame) -> DataFrame:
     )
 
 
-def is_high_risk() -> Column:
+# Any of these makes a loan high-risk.
+HIGH_RISK = RuleTable(
+    (
+        rule("tier", ("risk_tier", "=", "High")),
+        rule("overdue", ("days_past_due", ">", 60)),
+        rule("loss", ("actual_loss", ">", 0)),
+    )
+)
+
+# Classes of delinquency, worst first.
+DELINQUENCY = RuleTable(
+    (
+        rule(1, ("days_past_due", ">", 90)),
+        rule(2, ("days_past_due", ">", 60)),
+        rule(3, ("days_past_due", ">", 30)),
+    ),
+    4,
+)
+
+
+def is_high_risk(rules: RuleTable = HIGH_RISK) -> Column:
     """High tier, more than 60 days past due, or with a loss booked."""
-    return (F.col("risk_tier") == "High") | m.overdue(60) | (F.col("actual_loss") > 0)
+    return rules.any()
 
 
-def delinquency_class() -> Column:
+def delinquency_class(classes: RuleTable = DELINQUENCY) -> Column:
     """1 for more than 90 days past due, then 2 (60), 3 (30) and 4."""
-    return label([(m.overdue(90), 1), (m.overdue(60), 2), (m.overdue(30), 3)], 4)
+    return classes.first()
 
 
-def high_risk_loans(loans: DataFrame, n: int | None = 20) -> DataFrame:
+def high_risk_loans(
+    loans: DataFrame, n: int | None = 20, rules: RuleTable = HIGH_RISK, classes: RuleTable = DELINQUENCY
+) -> DataFrame:
     """The high-risk loans, worst delinquency class first and then by amount.
 
     `n` rows at most; all of them when `n` is None.
     """
-    order = [delinquency_class(), F.desc("loan_amount"), F.asc("loan_id")]
-    return ranked(loans.where(is_high_risk()), order, n).select(
+    order = [delinquency_class(classes), F.desc("loan_amount"), F.asc("loan_id")]
+    return ranked(loans.where(is_high_risk(rules)), order, n).select(
         "loan_id",
         "customer_id",
         "product_type",
@@ -288,16 +329,11 @@ def worst_risk_tier() -> Column:
 
 def risk_score_validation(loans: DataFrame, edges: Sequence[int] = SCORE_EDGES) -> DataFrame:
     """Actual against expected loss in each risk-score band, in ascending order."""
-    return (
-        loans.groupBy(band(F.col("risk_score"), edges).alias("risk_score_band"))
-        .agg(
-            m.loans().alias("loan_count"),
-            m.amount().cast("double").alias("portfolio_value"),
-            round_to(m.mean("interest_rate"), 2).alias("avg_interest_rate"),
-            m.par_rate().alias("par_30_rate_pct"),
-            m.loss_rate().alias("actual_loss_rate_pct"),
-            pct(m.expected_loss(), m.amount()).alias("expected_loss_rate_pct"),
-            m.loss_variance().alias("loss_variance_pct"),
-        )
-        .orderBy(place_in(F.col("risk_score_band"), band_names(edges)))
-    )
+    return profile(
+        loans,
+        band(F.col("risk_score"), edges).alias("risk_score_band"),
+        par_30_rate_pct=m.par_rate(),
+        actual_loss_rate_pct=m.loss_rate(),
+        expected_loss_rate_pct=pct(m.expected_loss(), m.amount()),
+        loss_variance_pct=m.loss_variance(),
+    ).orderBy(place_in(F.col("risk_score_band"), band_names(edges)))
