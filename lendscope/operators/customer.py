@@ -1,6 +1,8 @@
 """Customer views: segments, value, retention, migration, affinity, risk and cohorts.
 
-Each function takes the loan table and returns a lazy DataFrame. Means of customer
+Each function takes the loan table and returns a lazy DataFrame; those that start from
+customers also take stored states (`states.CustomerStates`) or a bucketed book
+(`book.BucketedBook`) in its place. Means of customer
 figures are plain means over customers, not weighted by their loans. `as_of` is the day
 ages are counted to, today when None.
 """
@@ -19,9 +21,10 @@ from lendscope.functions import measures as m
 from lendscope.functions.numbers import joined, label, pct, ratio, round_to
 from lendscope.functions.rules import Points, RuleTable, Score, Test, rule
 from lendscope.operators import categories as cat
-from lendscope.operators.customer_grain import customer_metrics
+from lendscope.operators.customer_grain import Source, customer_metrics, loan_rows
 from lendscope.operators.median import brackets, inside, middle, side
 from lendscope.operators.skew import HOT_ROWS, loan_sequence, with_previous_count
+from lendscope.operators.states import CustomerStates
 from lendscope.operators.topk import ranked, restrict_to_top
 
 # Lower bound (exclusive) of the yearly value that earns each tier.
@@ -50,7 +53,7 @@ def customer_segment(segments: RuleTable = SEGMENTS) -> Column:
 
 
 def customer_segmentation(
-    loans: DataFrame, as_of: date | None = None, segments: RuleTable = SEGMENTS
+    loans: Source, as_of: date | None = None, segments: RuleTable = SEGMENTS
 ) -> DataFrame:
     """Size, value, return and delinquency of each customer segment.
 
@@ -112,7 +115,7 @@ def clv_tier(value: Column, tiers: Sequence[tuple[int, str]] = CLV_TIERS) -> Col
     return label([(value > floor, name) for floor, name in tiers], "Bronze")
 
 
-def _top_by_value(loans: DataFrame, n: int | None) -> tuple[DataFrame, list[Column]]:
+def _top_by_value(loans: Source, n: int | None) -> tuple[Source, list[Column]]:
     """The loans of the `n` customers of highest lifetime value, and their order."""
     order = [F.desc("customer_lifetime_value"), F.asc("customer_id")]
     leaders = customer_metrics(loans, "net_profit").select(
@@ -122,7 +125,7 @@ def _top_by_value(loans: DataFrame, n: int | None) -> tuple[DataFrame, list[Colu
 
 
 def customer_clv(
-    loans: DataFrame, n: int | None = 50, tiers: Sequence[tuple[int, str]] = CLV_TIERS
+    loans: Source, n: int | None = 50, tiers: Sequence[tuple[int, str]] = CLV_TIERS
 ) -> DataFrame:
     """Customers by lifetime value, interest income less actual loss, with their tier.
 
@@ -227,7 +230,7 @@ def risk_migration_pattern(first: Column, latest: Column) -> Column:
     )
 
 
-def risk_migration(loans: DataFrame) -> DataFrame:
+def risk_migration(loans: Source) -> DataFrame:
     """How repeat customers' risk tier and score moved from first to latest loan."""
     first, latest = F.col("first_risk"), F.col("latest_risk")
     return (
@@ -292,28 +295,29 @@ def _over_text(loans: DataFrame, text: str, **more: Column) -> DataFrame:
 _FEW_NAMES = 16
 
 
-def product_affinity(loans: DataFrame, most_names: int = cat.MOST_NAMES) -> DataFrame:
+def product_affinity(loans: Source, most_names: int = cat.MOST_NAMES) -> DataFrame:
     """Customers, value and margin of each combination of products held.
 
     Up to `most_names` products, which a job over their column looks up first, sets are bits;
     more products are aggregated by customer and text.
     """
-    products = cat.coded(loans, "product_type", most_names)
-    if products is None:
-        customers = _over_text(loans, "product_type", held=m.distinct_values("product_type"))
-        keys, held = ["held"], F.col("held")
+    figures = (
+        "total_loans",
+        "total_borrowed",
+        "avg_interest_rate",
+        "total_revenue",
+        "total_loss",
+        "avg_days_past_due",
+    )
+    products = None
+    keys, held = ["held"], F.col("held")
+    if isinstance(loans, CustomerStates):
+        customers = customer_metrics(loans, *figures, "products").withColumnRenamed("products", "held")
+    elif (products := cat.coded(loan_rows(loans), "product_type", most_names)) is None:
+        customers = _over_text(loan_rows(loans), "product_type", held=m.distinct_values("product_type"))
     else:
         masks = products.masks()
-        customers = customer_metrics(
-            loans,
-            "total_loans",
-            "total_borrowed",
-            "avg_interest_rate",
-            "total_revenue",
-            "total_loss",
-            "avg_days_past_due",
-            **masks,
-        )
+        customers = customer_metrics(loans, *figures, **masks)
         keys, held = list(masks), products.held()
     sets = customers.groupBy(*keys).agg(
         m.loans().alias("customer_count"),
@@ -353,32 +357,35 @@ def _margin() -> Column:
 
 
 def channel_acquisition(
-    loans: DataFrame, as_of: date | None = None, most_names: int = cat.MOST_NAMES
+    loans: Source, as_of: date | None = None, most_names: int = cat.MOST_NAMES
 ) -> DataFrame:
     """Customers by the channel of their first loan, and what became of them.
 
     Channels are coded like the products of `product_affinity`.
     """
-    channels = cat.coded(loans, "channel", most_names)
-    if channels is None:
+    figures = (
+        "total_loans",
+        "total_borrowed",
+        "total_revenue",
+        "total_loss",
+        "first_loan_date",
+        "avg_risk_score",
+        "avg_days_past_due",
+    )
+    if isinstance(loans, CustomerStates):
+        customers = customer_metrics(loans, *figures, "first_channel", "channels").withColumn(
+            "channels", F.size("channels")
+        )
+    elif (channels := cat.coded(loan_rows(loans), "channel", most_names)) is None:
         customers = _over_text(
-            loans,
+            loan_rows(loans),
             "channel",
             first_channel=F.min_by("channel", "place"),
             channels=F.count("channel"),
         )
     else:
         customers = customer_metrics(
-            loans,
-            "total_loans",
-            "total_borrowed",
-            "total_revenue",
-            "total_loss",
-            "first_loan_date",
-            "avg_risk_score",
-            "avg_days_past_due",
-            first=channels.first(),
-            **channels.masks(),
+            loans, *figures, first=channels.first(), **channels.masks()
         ).withColumns(
             {"first_channel": channels.name_of_first(F.col("first")), "channels": channels.size()}
         )
@@ -483,7 +490,7 @@ def warning_category(categories: RuleTable = WARNING_CATEGORIES) -> Column:
 
 
 def early_warning(
-    loans: DataFrame,
+    loans: Source,
     as_of: date | None = None,
     n: int | None = 100,
     mean_dpd: int = 30,
@@ -498,7 +505,7 @@ def early_warning(
     """
     order = [F.desc("total_risk_flags"), F.desc("total_borrowed"), F.asc("customer_id")]
 
-    def flagged(source: DataFrame, *more: str) -> DataFrame:
+    def flagged(source: Source, *more: str) -> DataFrame:
         return (
             customer_metrics(source, *WARNING_MEASURES, "total_borrowed", *more)
             .withColumns(warning_flags(mean_dpd, risk_score, arrears_share))
@@ -542,7 +549,7 @@ def strategic_action(value: Column, risk: Column) -> Column:
     return label([((value == v) & (risk == r), action) for (v, r), action in STRATEGIES.items()])
 
 
-def profitability_matrix(loans: DataFrame, risky_dpd: int = 15) -> DataFrame:
+def profitability_matrix(loans: Source, risky_dpd: int = 15) -> DataFrame:
     """Customers in quadrants of value and risk, split at the exact medians.
 
     Two passes over the customers: one for brackets of the medians, one that sums customers by
@@ -622,13 +629,13 @@ def profitability_matrix(loans: DataFrame, risky_dpd: int = 15) -> DataFrame:
     )
 
 
-def acquisition_cohorts(loans: DataFrame, as_of: date | None = None) -> DataFrame:
+def acquisition_cohorts(loans: Source, as_of: date | None = None) -> DataFrame:
     """Customers by the month of their first loan, and how each cohort performs.
 
     Loans without a customer belong to no cohort, and loans without an id are not counted.
     """
     customers = customer_metrics(
-        loans.where("customer_id is not null"),
+        loans,
         "first_loan_date",
         "total_borrowed",
         "avg_risk_score",
@@ -636,8 +643,8 @@ def acquisition_cohorts(loans: DataFrame, as_of: date | None = None) -> DataFram
         "total_loss",
         "avg_days_past_due",
         "loans_par_30",
-        counted_loans=F.count("loan_id"),
-    ).withColumn("age_days", m.days_since(F.col("first_loan_date"), as_of))
+        "counted_loans",
+    ).where("customer_id is not null").withColumn("age_days", m.days_since(F.col("first_loan_date"), as_of))
     return (
         customers.groupBy(m.month_of(F.col("first_loan_date")).alias("cohort_month"))
         .agg(
@@ -682,7 +689,7 @@ def health_score(health: Score = HEALTH) -> Column:
 
 
 def top_customers(
-    loans: DataFrame, as_of: date | None = None, n: int | None = 30, health: Score = HEALTH
+    loans: Source, as_of: date | None = None, n: int | None = 30, health: Score = HEALTH
 ) -> DataFrame:
     """Full profile of the customers of highest lifetime value.
 

@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions import measures as m
+from lendscope.operators.states import CustomerStates
+from lendscope.sources.book import BucketedBook
+
+#: What customer views start from.
+Source = DataFrame | CustomerStates | BucketedBook
 
 
 def _measures() -> dict[str, Column]:
     return {
         "total_loans": m.loans(),
+        "counted_loans": F.count("loan_id"),
         "total_borrowed": m.amount(),
         "avg_loan_size": m.mean_money("loan_amount"),
         "min_loan_size": F.min("loan_amount"),
@@ -52,13 +58,26 @@ def latest_of(*names: str) -> Column:
     return F.max(F.struct("origination_date", "loan_id", *names))
 
 
-def customer_metrics(loans: DataFrame, *names: str, **more: Column) -> DataFrame:
+def loan_rows(source: DataFrame | BucketedBook) -> DataFrame:
+    return source.loans() if isinstance(source, BucketedBook) else source
+
+
+def customer_metrics(loans: Source, *names: str, **more: Column) -> DataFrame:
     """`customer_id`, the named measures and `more` aggregates, one row per customer.
 
+    Measures may also come from stored states; `more`, which are aggregates over loans, may not.
+    Of a bucketed book, ordinary customers are aggregated where they lie.
+
     Every measure merges partial results of fixed or low-cardinality size, so a customer
     that holds a large part of all loans is reduced on the map side. A NULL customer is
     a group of its own.
     """
+    if isinstance(loans, CustomerStates):
+        if more:
+            raise ValueError(f"states have no {', '.join(more)}")
+        return loans.metrics(*names)
+    if isinstance(loans, BucketedBook):
+        return loans.by_customer(lambda part: customer_metrics(part, *names, **more))
     available = _measures()
     return loans.groupBy("customer_id").agg(
         *(available[name].alias(name) for name in names),

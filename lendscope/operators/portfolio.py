@@ -39,8 +39,8 @@ def portfolio_overview(loans: DataFrame, ladder: Sequence[int] = PAR_LADDER) ->
     is what counts as arrears, and there are rates for the first, the second and the last.
 
     The sums need no shuffle beyond one row per task. The two distinct counts do, so
-    they run as scalar subqueries that read the ids alone: inside the same aggregate they
-    would multiply every row by three and carry all its sums through the shuffle.
+    they run as scalar subqueries over the bits of the ids alone: inside the same aggregate
+    they would multiply every row by three and carry all its sums through the shuffle.
     """
     tier_names = {tier: tier.lower() for tier in reversed(RISK_TIERS)}
     arrears = ladder_names(ladder)
@@ -69,8 +69,8 @@ def portfolio_overview(loans: DataFrame, ladder: Sequence[int] = PAR_LADDER) ->
         F.count_if(m.non_performing()).alias("non_performing_loans"),
     ).withColumns(
         {
-            "total_loans": loans.agg(F.count_distinct("loan_id")).scalar(),
-            "total_customers": loans.agg(F.count_distinct("customer_id")).scalar(),
+            "total_loans": m.distinct_ids(loans, "loan_id").scalar(),
+            "total_customers": m.distinct_ids(loans, "customer_id").scalar(),
         }
     )
 

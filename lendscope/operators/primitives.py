@@ -20,6 +20,7 @@ from lendscope.operators.customer_grain import customer_metrics, first_of, lates
 from lendscope.operators.median import exact_medians
 from lendscope.operators.skew import HOT_ROWS, join_customers, loan_sequence, with_previous_count
 from lendscope.operators.topk import ranked
+from lendscope.sources.book import BucketedBook
 
 
 def _double(*names: str) -> dict[str, Column]:
@@ -160,9 +161,13 @@ def null_guard(loans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 # Joins and subqueries
 
 
-def equi_join(loans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    needed = loans.select("loan_id", "customer_id", "origination_date")
-    return join_customers(needed, customer_metrics(loans, "first_loan_date"), hot_rows).select(
+def equi_join(loans: DataFrame | BucketedBook, hot_rows: int = HOT_ROWS) -> DataFrame:
+    if isinstance(loans, BucketedBook):
+        joined_loans = loans.join_customers(lambda part: customer_metrics(part, "first_loan_date"))
+    else:
+        needed = loans.select("loan_id", "customer_id", "origination_date")
+        joined_loans = join_customers(needed, customer_metrics(loans, "first_loan_date"), hot_rows)
+    return joined_loans.select(
         "loan_id",
         "customer_id",
         "first_loan_date",
@@ -227,7 +232,8 @@ def count_column(loans: DataFrame) -> DataFrame:
 
 
 def count_distinct(loans: DataFrame) -> DataFrame:
-    return loans.groupBy("product_type").agg(F.count_distinct("customer_id").alias("customers"))
+    counted = m.distinct_ids(loans, "customer_id", "product_type")
+    return counted.withColumnRenamed("customer_id", "customers")
 
 
 def count_if(loans: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lendscope.operators import customer as c
 from lendscope.operators import portfolio as p
 from lendscope.operators import primitives as o
+from lendscope.operators.states import CustomerStates, customer_states
 
 AS_OF = date(2026, 4, 23)
 
@@ -112,11 +113,33 @@ def wide_book(loans: DataFrame) -> DataFrame:
     return loans.withColumn("product_type", F.concat(F.lit("product "), F.expr("loan_id % 500")))
 
 
+def in_batches(loans: DataFrame) -> CustomerStates:
+    """Customer states of the loans, merged from three batches."""
+    first, *more = (customer_states(loans.where(F.col("loan_id") % 3 == batch)) for batch in range(3))
+    return first.merged(*more)
+
+
+# Views that can be read from states.
+FROM_STATES = (
+    "customer_segmentation",
+    "product_affinity",
+    "channel_acquisition",
+    "early_warning",
+    "profitability_matrix",
+    "acquisition_cohorts",
+)
+
+
+def of_states(name: str) -> LoanQuery:
+    return lambda loans: HEADLINE[name](in_batches(loans))
+
+
 # Branches of a plan that test data of usual shape does not reach.
 BRANCHES: dict[str, LoanQuery] = {
     "product_affinity_wide": lambda loans: c.product_affinity(wide_book(loans)),
     "customer_retention_sliced": partial(c.customer_retention, hot_rows=3),
     "op_row_number_sliced": partial(o.row_number, hot_rows=3),
+    **{f"{name}_merged": of_states(name) for name in FROM_STATES},
 }
 
 CATALOG: dict[str, LoanQuery] = {**HEADLINE, **UNCUT, **PRIMITIVES, **BRANCHES}

@@ -753,6 +753,12 @@ BRANCHES = {
     ),
     "customer_retention_sliced": HEADLINE["customer_retention"],
     "op_row_number_sliced": PRIMITIVES["op_row_number"],
+    "customer_segmentation_merged": HEADLINE["customer_segmentation"],
+    "product_affinity_merged": HEADLINE["product_affinity"],
+    "channel_acquisition_merged": HEADLINE["channel_acquisition"],
+    "early_warning_merged": HEADLINE["early_warning"],
+    "profitability_matrix_merged": HEADLINE["profitability_matrix"],
+    "acquisition_cohorts_merged": HEADLINE["acquisition_cohorts"],
 }
 
 ORACLE: dict[str, str] = {**HEADLINE, **UNCUT, **PRIMITIVES, **BRANCHES}

@@ -64,3 +64,19 @@ def test_one_edge(spark):
     assert band_names([600]) == ["< 600", "600+"]
     df = spark.createDataFrame([(599,), (600,), (None,)], "x int")
     assert [r[0] for r in df.select(band(F.col("x"), [600])).collect()] == ["< 600", "600+", "600+"]
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [
+        [], [None], [0], [-1, 0, 63, 64, -64, -65, 127, -1, None], [2**63 - 1, -(2**63), 2**63 - 1, 2**40, 2**40 + 64],
+        list(range(-300, 300)) * 2, [k * 10**12 for k in range(200)],
+    ],
+)
+def test_distinct_ids(spark, ids):
+    df = spark.createDataFrame([(k % 3, i) for k, i in enumerate(ids)] + [(9, None)], "g int, i long").repartition(4)
+    want = df.agg(F.count_distinct("i").alias("i")).first()
+    assert m.distinct_ids(df, "i").first() == want
+    by_group = df.groupBy("g").agg(F.count_distinct("i").alias("i"))
+    assert sorted(m.distinct_ids(df, "i", "g").collect()) == sorted(by_group.collect())
+    assert m.distinct_ids(df.withColumn("i", F.col("i").cast("decimal(20,0)")), "i").first() == want
