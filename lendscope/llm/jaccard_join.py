@@ -12,7 +12,9 @@ document counts of grams are taken from a sketch of bounded size.
    with the least one. Pairs are verified, and links make components.
 4. What is left are pairs of one gram that lie in different components. They are verified
    too, so components are those of all links. A group of near copies, one component after
-   the first round, has no such pairs, however large it is.
+   the first round, has no such pairs, however large it is. A large group whose members are
+   not quite alike enough has as many as the square of its number: there, signatures of whole
+   sets meet in blocks, and only pairs that these cannot refute become rows.
 
 Where links are counted, step 4 takes all pairs of a gram's nodes, also those of one component.
 Copies are one node; each counts as a link of the others, and for every link of their node.
@@ -55,6 +57,9 @@ FLUSH = 4 << 20
 SEGMENTS = 3  # bits of the global order that tell a set's segments apart
 MEMBERS = 512  # of one set's partners in one task
 MAX_WANTED_LONGS = 1 << 22
+SHORT = 64  # nodes of a list whose pairs are made without regard to whole sets
+MAX_SIGNATURE = 1 << 15
+FLAT_PAIRS = 1 << 20
 SLICE_BYTES = 2 << 20
 
 #: Set sizes go along in the low bits of a gram's order: as they are below EXACT, above that
@@ -140,7 +145,7 @@ def _describe(cells: int):
         )
         totals = np.zeros(cells, np.uint32)
         for batch, sets in _sets(batches):
-            totals += np.bincount(_cell(sets.gram, cells), minlength=cells).astype(np.uint32)
+            np.add.at(totals, _cell(sets.gram, cells), np.uint32(1))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -319,16 +324,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other, weight = lead + 1 + inner, np.repeat(times, sizes[chosen] - 1)
         near = sizes_fit(code[other], code[lead])
         lead, other, weight = lead[near], other[near], weight[near]
-        pairs, first, which = np.unique(
-            np.stack([node[lead], node[other]], axis=1), axis=0, return_index=True, return_inverse=True
-        )
-        n, m = len(pairs), len(lists)
+        order = np.lexsort((node[other], node[lead]))
+        lead, other, weight = lead[order], other[order], weight[order]
+        new = np.ones(len(lead), bool)
+        new[1:] = (node[lead[1:]] != node[lead[:-1]]) | (node[other[1:]] != node[other[:-1]])
+        first, which = np.flatnonzero(new), np.cumsum(new) - 1
+        n, m = len(first), len(lists)
         none = np.arange(n + m) >= n
         column = lambda x: pa.array(np.append(x, np.zeros(m, np.int64)), mask=none)
-        count = np.bincount(which.ravel(), weight, n).astype(np.int64)
+        count = np.bincount(which, weight, n).astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                column(pairs[:, 0]), column(pairs[:, 1]), column(code[lead[first]]), column(code[other[first]]),
+                column(node[lead[first]]), column(node[other[first]]), column(code[lead[first]]),
+                column(code[other[first]]),
                 pa.array(np.append(count, times)), pa.array([None] * n + lists, pa.binary()),
             ],
             schema=schema,
@@ -360,43 +368,136 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list's nodes in different components; rows come sorted by list and label."""
-    names = ["a", "b", "code_a", "code_b", "shared"]
-
-    def pairs(label, node, code, shared):
-        edges = np.append(np.flatnonzero(np.append(True, label[1:] != label[:-1])), len(label))
-        for k in range(1, len(edges) - 1):
-            begin, end = edges[k], edges[k + 1]
-            out = []
-            for j in range(begin, end):
-                near = np.flatnonzero(sizes_fit(code[:begin], code[j]))
-                swap = node[near] > node[j]
-                one, two = np.where(swap, node[j], node[near]), np.where(swap, node[near], node[j])
-                codes = np.where(swap, code[j], code[near]), np.where(swap, code[near], code[j])
-                out.append(np.stack([one, two, *codes, np.full(len(near), shared[0])]))
-            found = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+def _pair_batch(one, two, node, code, shared) -> pa.RecordBatch:
+    """Rows of pairs of members, given by place, the lesser node first."""
+    swap = node[one] > node[two]
+    a, b = np.where(swap, two, one), np.where(swap, one, two)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (node[a], node[b], code[a], code[b], shared[two])],
+        names=["a", "b", "code_a", "code_b", "shared"],
+    )
+
+
+def _first_of_run(*keys: np.ndarray) -> np.ndarray:
+    """For each place where the run of equal keys around it begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
 
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list's nodes in different components, of many lists at once. Lists are short;
+    rows come sorted by list and label."""
+
+    def pairs(lists, label, node, code, shared):
+        begin = _first_of_run(lists)
+        # A node is paired with those of its list that lie in earlier components.
+        count = _first_of_run(lists, label) - begin
+        ends, a = np.cumsum(count), 0
+        while a < len(node):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + FLAT_PAIRS)))
+            two = np.repeat(np.arange(a, b), count[a:b])
+            one = np.arange(len(two)) - np.repeat(ends[a:b] - count[a:b] - (ends[a - 1] if a else 0), count[a:b])
+            one += begin[two]
+            near = sizes_fit(code[one], code[two])
+            if near.any():
+                yield _pair_batch(one[near], two[near], node, code, shared)
+            a = b
+
+    held = None
+    for batch in batches:
+        rows = [np.asarray(batch.column(n)) for n in ("list", "label", "node", "code", "shared")]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if len(rows[0]):
+            last = int(_first_of_run(rows[0])[-1])
+            yield from pairs(*(x[:last] for x in rows)) if last else ()
+            rows = [x[last:] for x in rows]
+        held = rows
+    if held is not None and len(held[0]):
+        yield from pairs(*held)
+
+
+def signature_bits(size: int) -> int:
+    """32 bits for each gram of a set, or so; a power of two."""
+    return min(MAX_SIGNATURE, 1 << max(6, (32 * size - 1).bit_length()))
+
+
+def signature(grams: np.ndarray) -> np.ndarray:
+    """A set as bits, one for each value of a hash."""
+    bits = signature_bits(len(grams))
+    out = np.zeros(bits, bool)
+    out[(W.mix(grams) >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def folded(signatures: np.ndarray) -> np.ndarray:
+    """Signatures of half the bits: neighbouring bits as one, as a hash of one bit less has it."""
+    bits = np.unpackbits(signatures.view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits[:, ::2] | bits[:, 1::2], axis=1, bitorder="little").view(np.uint64)
+
+
+def most_shared(mine: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """An upper bound of what a set shares with others: bits that both have, and as many more
+    as grams of either lie on a bit of another gram."""
+    both = np.bitwise_count(mine & others).sum(axis=1).astype(np.int64)
+    spare = size - int(np.bitwise_count(mine).sum())
+    return both + np.minimum(spare, sizes - np.bitwise_count(others).sum(axis=1).astype(np.int64))
+
+
+def _refuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of long lists, by pairs of blocks as `_blocks` sorts them: of all pairs, those
+    whose whole sets may share enough by their signatures."""
+
+    def pairs(key, own, label, node, code, shared, size, bits):
+        widths = np.array([len(x) * 8 for x in bits])
+        one, two = [], []
+        for width in np.unique(widths):
+            same, wider = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+            view = lambda rows: np.frombuffer(b"".join(bits[k] for k in rows), np.uint64).reshape(len(rows), -1)  # noqa: B023, E731
+            place = np.concatenate([same, wider])
+            table = np.concatenate([view(same), folded(view(wider))]) if len(wider) else view(same)
+            for k in range(len(same)):
+                rest = place[k + 1 :]
+                may = (label[rest] != label[place[k]]) & sizes_fit(code[rest], code[place[k]])
+                if key[1] != key[2]:
+                    may &= own[rest] != own[place[k]]
+                rest = np.flatnonzero(may) + k + 1
+                if not len(rest):
+                    continue
+                sizes = size[place[rest]]
+                least = -(-PERCENT * (sizes + size[place[k]]) // (100 + PERCENT))
+                rest = rest[most_shared(table[k], table[rest], size[place[k]], sizes) >= least]
+                one.append(np.full(len(rest), place[k]))
+                two.append(place[rest])
+        if one:
+            yield _pair_batch(np.concatenate(one), np.concatenate(two), node, code, shared)
+
+    names = ("own", "label", "node", "code", "shared", "size")
     key, held = None, []
     for batch in batches:
-        lists = np.asarray(batch.column("list"))
-        rows = [np.asarray(batch.column(n)) for n in ("label", "node", "code", "shared")]
-        cuts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1])) if len(lists) else []
-        for k, begin in enumerate(cuts):
-            end = cuts[k + 1] if k + 1 < len(cuts) else len(lists)
-            if lists[begin] != key:
+        keys = [np.asarray(batch.column(n)) for n in ("list", "low", "high")]
+        rows = [np.asarray(batch.column(n)) for n in names]
+        bits = batch.column("bits").to_pylist()
+        if not batch.num_rows:
+            continue
+        cuts = np.append(np.unique(_first_of_run(*keys)), batch.num_rows)
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            here = tuple(int(k[begin]) for k in keys)
+            if here != key:
                 if held:
-                    yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                key, held = lists[begin], []
-            held.append([x[begin:end] for x in rows])
+                    *parts, signs = zip(*held, strict=True)
+                    yield from pairs(key, *(np.concatenate(x) for x in parts), sum(signs, []))
+                key, held = here, []
+            held.append([*(x[begin:end] for x in rows), bits[begin:end]])
     if held:
-        yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        *parts, signs = zip(*held, strict=True)
+        yield from pairs(key, *(np.concatenate(x) for x in parts), sum(signs, []))
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, *more: str) -> DataFrame:
     """The nodes of each list, those of a long one in blocks of about MEMBERS: a row for every
-    pair of blocks that a node is to be paired in."""
+    pair of blocks that a node is to be paired in, and `more` columns of the node."""
     load = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
     own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
     return (
@@ -404,7 +505,7 @@ def _blocks(members: DataFrame) -> DataFrame:
         .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
         .select(
             "list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            "own", "node", "code", "shared",
+            "own", "node", "code", "shared", *more,
         )
         .repartition("list", "low", "high")
         .sortWithinPartitions("list", "low", "high", "own", "node")
@@ -488,10 +589,11 @@ def _passes(nodes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _segments(sent):
-    """The whole sets of wanted nodes, by segment; once for a node in a partition."""
+    """The whole sets of wanted nodes, by segment, and as segment -1 the signatures of those
+    that have long lists; once for a node in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, wanted = sent.value
+        frequent, wanted, in_long = sent.value
         seen: set[int] = set()
         for _, sets in _sets(batches):
             own = sets.nodes()
@@ -503,6 +605,7 @@ def _segments(sent):
             if len(seen) > 1 << 20:
                 seen.clear()  # a set may come twice then, which does not count
             place, _ = sets.ordered(frequent)
+            signed = _passes(own, in_long)
             rows = []
             for i in chosen:
                 mine = place[sets.first[i] : sets.first[i + 1]]
@@ -511,6 +614,8 @@ def _segments(sent):
                     (int(own[i]), k, len(mine), mine[cuts[k] : cuts[k + 1]].tobytes())
                     for k in np.flatnonzero(np.diff(cuts))
                 ]
+                if signed[i]:
+                    rows.append((int(own[i]), -1, len(mine), signature(mine).tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -553,8 +658,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     The segments of `a` go to the tasks that have its partners; a node with very many is sent
     to several, MEMBERS partners each. `sets` may have a segment more than once."""
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
-    partners = pairs.join(load, "a").select(
-        F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b"
+    # Nodes with more partners than MEMBERS: at most one for so many pairs.
+    many = F.broadcast(load.where("salts > 1"))
+    partners = pairs.join(many, "a", "left").select(
+        F.col("b").alias("node"),
+        "a",
+        F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"),
+        "b",
     )
     own = load.select(
         F.col("a").alias("node"),
@@ -617,33 +727,54 @@ def links_of(
         .agg(F.max("code").alias("code"), F.sum("shared").alias("shared")),
         "jaccard-lists",
     )
-    first = _verified_links(texts, frequent, pairs)
+    long = stored(
+        members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT).select("list"),
+        "jaccard-long",
+    )
+    sets = _sets_of(texts, frequent, members, long)
+    whole = sets.where("segment >= 0")
+    first = stored(verified(pairs, whole), "jaccard-links")
     if every:
         inside = _blocks(members).mapInArrow(
             _within, "a long, b long, code_a long, code_b long, shared long"
         )
-        rest = stored(_enough(inside).join(pairs, ["a", "b"], "left_anti"), "jaccard-inside")
-        return first if rest.isEmpty() else first.union(_verified_links(texts, frequent, rest))
-    labels = components(first)
+    else:
+        inside = _apart(members, components(first), long, sets)
     # A pair of the first round may have met in more grams than those of its least node, so
     # only what was verified is left out.
-    apart = (
-        members.join(labels, "node", "left")
-        .withColumn("label", F.coalesce("label", "node"))
+    rest = stored(_enough(inside).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    return first if rest.isEmpty() else first.union(stored(verified(rest, whole), "jaccard-links"))
+
+
+def _sets_of(texts: DataFrame, frequent: np.ndarray, members: DataFrame, long: DataFrame) -> DataFrame:
+    """The sets of all nodes of lists, which any later step may ask for, made once."""
+    in_long = members.join(long, "list", "left_semi")
+    wanted = [_wanted(rows.select("node").distinct()) for rows in (members, in_long)]
+    sent = texts.sparkSession.sparkContext.broadcast((frequent, *wanted))
+    return stored(texts.mapInArrow(_segments(sent), SETS), "jaccard-sets")
+
+
+def _apart(members: DataFrame, labels: DataFrame, long: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a list's nodes that lie in different components. In long lists, which would
+    make pairs by the square of their number, whole sets refute pairs before there is a row."""
+    pair = "a long, b long, code_a long, code_b long, shared long"
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = (
+        labelled.groupBy("list")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        .where("least < most")
+        .select("list")
+    )
+    apart = stored(labelled.join(spread, "list", "left_semi"), "jaccard-apart")
+    few = (
+        apart.join(long, "list", "left_anti")
         .repartition("list")
         .sortWithinPartitions("list", "label", "node")
-        .mapInArrow(_across, "a long, b long, code_a long, code_b long, shared long")
+        .mapInArrow(_across, pair)
     )
-    rest = stored(_enough(apart).join(pairs, ["a", "b"], "left_anti"), "jaccard-apart")
-    return first if rest.isEmpty() else first.union(_verified_links(texts, frequent, rest))
-
-
-def _verified_links(texts: DataFrame, frequent: np.ndarray, pairs: DataFrame) -> DataFrame:
-    """The pairs that are alike enough. Whole sets are made only for their nodes."""
-    spark = texts.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = spark.sparkContext.broadcast((frequent, _wanted(nodes)))
-    return stored(verified(pairs, texts.mapInArrow(_segments(wanted), SETS)), "jaccard-links")
+    signs = sets.where("segment = -1").dropDuplicates(["node"]).select("node", "size", F.col("grams").alias("bits"))
+    many = apart.join(long, "list", "left_semi").join(signs, "node")
+    return few.unionByName(_blocks(many, "label", "size", "bits").mapInArrow(_refuted, pair))
 
 
 def _link_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
