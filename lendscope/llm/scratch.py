@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Only where a session has no such setting, as in tests on one machine, is a folder of
-    this machine set. What is written there stays until the caller clears the folder.
+    Only where a session on this one machine has no such setting, as in tests, is a folder of
+    this machine set; a session on a cluster must have it. What is written there stays until
+    the caller clears the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lendscope-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
