@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lendscope.llm.chat_format import OP12_SQL, op12_chat_format
 from lendscope.llm.decontamination import op6_decontamination
-from lendscope.llm.jaccard_join import OP4_SQL, op4_jaccard_join, op4_jaccard_links
+from lendscope.llm.jaccard_join import OP4_LINKS_SQL, OP4_SQL, op4_jaccard_join, op4_jaccard_links
 from lendscope.llm.lexical_search import OP11_SQL, op11_lexical_search
 from lendscope.llm.packing import op9_packing
 from lendscope.llm.periodic_runs import op13_periodic_runs
@@ -37,6 +37,7 @@ ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op2_url_filter": OP2_SQL,
     "op4_jaccard_join": OP4_SQL,
+    "op4_jaccard_links": OP4_LINKS_SQL,
     "op7_secret_scan": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_warc": OP10_SQL,

@@ -57,9 +57,13 @@ FLUSH = 4 << 20
 SEGMENTS = 3  # bits of the global order that tell a set's segments apart
 MEMBERS = 512  # of one set's partners in one task
 MAX_WANTED_LONGS = 1 << 22
-SHORT = 64  # nodes of a list whose pairs are made without regard to whole sets
+SHORT = 256  # nodes of a list whose pairs are made without regard to whole sets
 MAX_SIGNATURE = 1 << 15
 FLAT_PAIRS = 1 << 20
+
+#: Up to so many rows, those to keep are broadcast as bits, a million words of 64; more meet
+#: their documents by a shuffle.
+ROWS_AS_BITS = 1 << 26
 SLICE_BYTES = 2 << 20
 
 #: Set sizes go along in the low bits of a gram's order: as they are below EXACT, above that
@@ -419,8 +423,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signature_bits(size: int) -> int:
-    """32 bits for each gram of a set, or so; a power of two."""
-    return min(MAX_SIGNATURE, 1 << max(6, (32 * size - 1).bit_length()))
+    """16 to 32 bits for each gram of a set; a power of two."""
+    return min(MAX_SIGNATURE, 1 << max(6, (16 * size - 1).bit_length()))
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -589,32 +593,33 @@ def _passes(nodes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _segments(sent):
-    """The whole sets of wanted nodes, by segment, and as segment -1 the signatures of those
-    that have long lists; once for a node in a partition."""
+    """The whole sets of some nodes, by segment, and as segment -1 the signatures of others;
+    once for a node in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, wanted, in_long = sent.value
+        frequent, whole, signed = sent.value
         seen: set[int] = set()
         for _, sets in _sets(batches):
             own = sets.nodes()
             chosen = []
-            for i in np.flatnonzero((sets.size > 0) & _passes(own, wanted)):
+            cut, marked = _passes(own, whole), _passes(own, signed)
+            for i in np.flatnonzero((sets.size > 0) & (cut | marked)):
                 if int(own[i]) not in seen:
                     seen.add(int(own[i]))
                     chosen.append(int(i))
             if len(seen) > 1 << 20:
                 seen.clear()  # a set may come twice then, which does not count
             place, _ = sets.ordered(frequent)
-            signed = _passes(own, in_long)
             rows = []
             for i in chosen:
                 mine = place[sets.first[i] : sets.first[i + 1]]
-                cuts = np.searchsorted(mine >> np.uint64(64 - SEGMENTS), np.arange((1 << SEGMENTS) + 1))
-                rows += [
-                    (int(own[i]), k, len(mine), mine[cuts[k] : cuts[k + 1]].tobytes())
-                    for k in np.flatnonzero(np.diff(cuts))
-                ]
-                if signed[i]:
+                if cut[i]:
+                    cuts = np.searchsorted(mine >> np.uint64(64 - SEGMENTS), np.arange((1 << SEGMENTS) + 1))
+                    rows += [
+                        (int(own[i]), k, len(mine), mine[cuts[k] : cuts[k + 1]].tobytes())
+                        for k in np.flatnonzero(np.diff(cuts))
+                    ]
+                if marked[i]:
                     rows.append((int(own[i]), -1, len(mine), signature(mine).tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -731,9 +736,9 @@ def links_of(
         members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT).select("list"),
         "jaccard-long",
     )
-    sets = _sets_of(texts, frequent, members, long)
-    whole = sets.where("segment >= 0")
-    first = stored(verified(pairs, whole), "jaccard-links")
+    in_long = members.join(long, "list", "left_semi").select("node").distinct()
+    sets = stored(_sets_of(texts, frequent, _nodes_of(pairs), in_long), "jaccard-sets")
+    first = stored(verified(pairs, sets.where("segment >= 0")), "jaccard-links")
     if every:
         inside = _blocks(members).mapInArrow(
             _within, "a long, b long, code_a long, code_b long, shared long"
@@ -743,15 +748,20 @@ def links_of(
     # A pair of the first round may have met in more grams than those of its least node, so
     # only what was verified is left out.
     rest = stored(_enough(inside).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-    return first if rest.isEmpty() else first.union(stored(verified(rest, whole), "jaccard-links"))
+    if rest.isEmpty():
+        return first
+    sets = _sets_of(texts, frequent, _nodes_of(rest), in_long.limit(0))
+    return first.union(stored(verified(rest, sets), "jaccard-links"))
+
 
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
-def _sets_of(texts: DataFrame, frequent: np.ndarray, members: DataFrame, long: DataFrame) -> DataFrame:
-    """The sets of all nodes of lists, which any later step may ask for, made once."""
-    in_long = members.join(long, "list", "left_semi")
-    wanted = [_wanted(rows.select("node").distinct()) for rows in (members, in_long)]
-    sent = texts.sparkSession.sparkContext.broadcast((frequent, *wanted))
-    return stored(texts.mapInArrow(_segments(sent), SETS), "jaccard-sets")
+
+def _sets_of(texts: DataFrame, frequent: np.ndarray, whole: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows of SETS: the sets of some nodes, by segment, and the signatures of some."""
+    sent = texts.sparkSession.sparkContext.broadcast((frequent, _wanted(whole), _wanted(signed)))
+    return texts.mapInArrow(_segments(sent), SETS)
 
 
 def _apart(members: DataFrame, labels: DataFrame, long: DataFrame, sets: DataFrame) -> DataFrame:
@@ -837,7 +847,7 @@ def linked_documents(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, of which each component keeps the row with the least id (the first of several).
-    The rows must come from a stored table, since they are numbered by their place."""
+    Documents stay where they are read, if their number allows. The rows must come from a stored table, since they are numbered by their place."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     numbered = docs.select(
         F.struct(*columns).alias("document"),
@@ -850,9 +860,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Null ids last, then the first row.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     kept = ids.groupBy("component_id").agg(first).select("first.row")
-    return numbered.join(kept, "row", "left_semi").select(
-        *[F.col("document").getField(c).alias(c) for c in docs.columns]
-    )
+    if docs.count() <= ROWS_AS_BITS:
+        # Rows are numbered where they are read: a word has the bits of 64 neighbours.
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("row").bitwiseAND(F.lit(63)).cast("int"))
+        words = kept.groupBy(F.shiftright("row", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        stays = F.getbit("bits", F.col("row").bitwiseAND(F.lit(63)).cast("int")) == 1
+        same = F.shiftright("row", 6) == F.col("word")
+        left = numbered.join(F.broadcast(stored(words, "jaccard-kept")), same).where(stays)
+    else:
+        left = numbered.join(kept, "row", "left_semi")
+    return left.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -903,3 +920,19 @@ select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(m.component_id
 from w left join n using (doc_id) left join s using (doc_id) left join r on s.node = r.node
 left join m on m.node = r.doc_id
 """
+
+# The same, and for each row the rows of its set and of all sets linked with it, less itself.
+OP4_LINKS_SQL = (
+    OP4_SQL.replace(
+        """
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles,""",
+        """, k as (
+  select node, count(*) as copies from s group by node
+), x as (
+  select e.a, sum(k.copies) as others from e join r on e.b = r.doc_id join k using (node) group by e.a
+)
+select w.doc_id, coalesce(k.copies - 1 + coalesce(x.others, 0), 0)::bigint as n_links,
+  coalesce(n.n, 0)::bigint as n_shingles,""",
+    ).rstrip()
+    + " left join k on k.node = r.node left join x on x.a = r.doc_id\n"
+)
