@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage against plain Python where that can tell."""
 
+import random
+
 import corpus_pipeline
 from lendscope.llm.scratch import stored
 from tests.conftest import SMALL
@@ -39,3 +41,42 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 50 and "sequence_id" in out.columns
+
+
+def _tables(spark, folder, documents, items):
+    kind = "doc_id long, text string, lang string, row int, document string, node long, label string, list int, id int"
+    rows = [(i, t, "en", 1, "x", 2, "y", 3, 4) for i, t in documents]
+    spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def _prose(seed, n):
+    rng = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in ("the ", "", "of ", "and ", "") for b in ("ra", "mo", "ti", "lu") for c in ("den", "sor", "vel", "kin")]
+    return ".\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(n)) + "."
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, copies, equal ids, a long text, clashing columns and an empty benchmark."""
+    documents = [
+        (None, None), (1, None), (2, ""), (None, _prose(1, 12)), (3, _prose(1, 12)), (4, _prose(2, 12)), (4, _prose(2, 12)),
+        (4, _prose(3, 12)), (None, _prose(4, 12)), (5, _prose(5, 1500)), (6, "too short"),
+    ]
+    folder = _tables(spark, tmp_path, documents, [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder), name)
+        assert docs.columns == columns
+        seen.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr))
+    assert len(seen[0]) == 7 and all(t and len(t) > 100 for _, t in seen[0])
+    want = [(None, _prose(4, 12)), (3, _prose(1, 12)), (4, _prose(2, 12)), (4, _prose(3, 12)), (5, _prose(5, 1500))]
+    assert seen[1] == sorted(want, key=repr)
+    assert seen[3] == seen[2] == seen[1]
+    assert corpus_pipeline.run(spark, folder).count() >= 5
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = _tables(spark, tmp_path, [], [(1, "an item of the benchmark")])
+    assert corpus_pipeline.run(spark, folder).collect() == []
