@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored and read again
 as the next one's docs. All but the last return the columns that came in.
+
+Defined results: a null or empty text fails the quality rules and goes at the first stage; a null
+id ranks behind all others where one document of a group stays, and is kept if its group has no
+other; equal rows are copies, of which one stays; of equal ids that are no copies all stay; very
+long texts are worked on whole; empty tables give an empty table, and an empty benchmark
+contaminates nothing. More columns of documents, whatever their names, pass through all stages but
+the last.
 """
 
 from __future__ import annotations
