@@ -53,7 +53,8 @@ def _tables(spark, folder, documents, items):
 
 def _prose(seed, n):
     rng = random.Random(seed)
-    words = [f"{a}{b}{c}" for a in ("the ", "", "of ", "and ", "") for b in ("ra", "mo", "ti", "lu") for c in ("den", "sor", "vel", "kin")]
+    parts = ("ra", "mo", "ti", "lu", "den", "sor", "vel", "kin")
+    words = [f"{a}{b}{c}{d}" for a in ("the ", "", "of ", "and ", "") for b in parts for c in parts for d in parts]
     return ".\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(n)) + "."
 
 
