@@ -10,8 +10,9 @@ document counts of grams are taken from a sketch of bounded size.
    are cut into fragments, ranges of the global order, and met in each fragment apart.
 3. A gram's nodes would make pairs by the square of their number. First each is paired only
    with the least one. Pairs are verified, and links make components.
-4. What is left are pairs of one gram that lie in different components. They are verified
-   too, so components are those of all links. A group of near copies, one component after
+4. What is left are pairs of one gram that lie in different components. Of these, each node's
+   pair of the most shared grams is verified first, which makes one component of most groups;
+   then all that still lie in different components, so components are those of all links. A group of near copies, one component after
    the first round, has no such pairs, however large it is. A large group whose members are
    not quite alike enough has as many as the square of its number: there, signatures of whole
    sets meet in blocks, and only pairs that these cannot refute become rows.
@@ -32,6 +33,7 @@ gives an empty table. Other columns are not carried by `linked_documents`.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +62,7 @@ MAX_WANTED_LONGS = 1 << 22
 SHORT = 256  # nodes of a list whose pairs are made without regard to whole sets
 MAX_SIGNATURE = 1 << 15
 FLAT_PAIRS = 1 << 20
+ROUNDS = 1  # in which a node's nearest pair is verified before all others
 
 #: Up to so many rows, those to keep are broadcast as bits, a million words of 64; more meet
 #: their documents by a shuffle.
@@ -99,7 +102,7 @@ class Sets:
             word = hashes[words.first[short][has] + k]
             own[has] = W.mix(own[has] * np.uint64(3) + word + np.uint64(k + 1))
         gram, of = np.concatenate([gram, own]), np.concatenate([of, short])
-        order = np.lexsort((gram, of))
+        order = _by_text(gram, of, len(column))
         gram, of = gram[order], of[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])
@@ -116,10 +119,30 @@ class Sets:
 
     def ordered(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of grams in the global order, sorted within each set, and their texts."""
-        late = _frequent(self.gram, frequent).astype(np.uint64) << np.uint64(63)
-        place = self.gram >> np.uint64(1) | late
-        order = np.lexsort((place, self.of))
-        return place[order], self.of[order]
+        late = _frequent(self.gram, frequent).astype(np.int64)
+        place = self.gram >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
+        if not late.any():
+            return place, self.of
+        # Grams are sorted: those placed last go behind the others of their text, in order.
+        sums = np.append(0, np.cumsum(late))
+        first, last = self.first[:-1], self.first[1:]
+        before = sums[:-1] - sums[first][self.of]
+        behind = (last - (sums[last] - sums[first]))[self.of] + before
+        out = np.empty_like(place)
+        out[np.where(late == 1, behind, np.arange(len(place)) - before)] = place
+        return out, self.of
+
+
+def _by_text(gram: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
+    """An order by text, then gram: by the text's number and a gram's leading bits, if these
+    tell a text's grams apart."""
+    bits = np.uint64(max(1, texts.bit_length()))
+    key = of.astype(np.uint64) << (np.uint64(64) - bits) | gram >> bits
+    order = np.argsort(key)
+    key, gram_there = key[order], gram[order]
+    if np.any((key[1:] == key[:-1]) & (gram_there[1:] != gram_there[:-1])):
+        return np.lexsort((gram, of))
+    return order
 
 
 def _cell(gram: np.ndarray, cells: int) -> np.ndarray:
@@ -162,7 +185,9 @@ def _describe(cells: int):
         if totals.any():
             for k in range(cells // size):
                 part = totals[k * size : (k + 1) * size].astype("<u4")
-                planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T).tobytes()
+                # Most counts are small: planes of bytes, packed, as every partition sends all cells.
+                packer = zlib.compressobj(1, strategy=zlib.Z_RLE)
+                planes = packer.compress(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T)) + packer.flush()
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([planes], pa.binary())],
                     schema=schema,
@@ -187,7 +212,7 @@ def _sum_counts(limit: int):
             for own, counts in zip(
                 batch.column("slice").to_pylist(), batch.column("counts"), strict=True
             ):
-                planes = np.frombuffer(counts.as_buffer(), np.uint8).reshape(4, -1)
+                planes = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint8).reshape(4, -1)
                 values = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
                 if own != key:
                     if key is not None:
@@ -499,21 +524,23 @@ def _refuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(key, *(np.concatenate(x) for x in parts), sum(signs, []))
 
 
-def _blocks(members: DataFrame, *more: str) -> DataFrame:
+def _blocks(members: DataFrame, *more: str, wide: DataFrame | None = None) -> DataFrame:
     """The nodes of each list, those of a long one in blocks of about MEMBERS: a row for every
-    pair of blocks that a node is to be paired in, and `more` columns of the node."""
+    pair of blocks that a node is to be paired in, and `more` columns of the node. Columns of
+    the table `wide` of nodes are joined last, so they are dealt to blocks only once."""
     load = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
     own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-    return (
+    rows = (
         members.join(load, "list")
         .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
         .select(
             "list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
             "own", "node", "code", "shared", *more,
         )
-        .repartition("list", "low", "high")
-        .sortWithinPartitions("list", "low", "high", "own", "node")
     )
+    if wide is not None:
+        rows = rows.join(wide, "node")
+    return rows.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "own", "node")
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -563,9 +590,9 @@ def _enough(pairs: DataFrame, part: float = 1.0) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, a, b = (np.asarray(batch.column(n)) for n in ("shared", "code_a", "code_b"))
-            yield batch.filter(pa.array(shared >= needed(a, b) * part)).select(["a", "b"])
+            yield batch.filter(pa.array(shared >= needed(a, b) * part)).select(["a", "b", "shared"])
 
-    return summed.mapInArrow(keep, "a long, b long")
+    return summed.mapInArrow(keep, "a long, b long, shared long")
 
 
 def _wanted(nodes: DataFrame) -> np.ndarray:
@@ -751,7 +778,47 @@ def links_of(
     if rest.isEmpty():
         return first
     sets = _sets_of(texts, frequent, _nodes_of(rest), in_long.limit(0))
-    return first.union(stored(verified(rest, sets), "jaccard-links"))
+    if every:
+        return first.union(stored(verified(rest, sets), "jaccard-links"))
+    return _connected(first, rest, stored(sets, "jaccard-sets"))
+
+
+def _connected(links: DataFrame, pairs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """`links`, and as many of the pairs (a, b, shared) that are alike enough as give the same
+    components as all of them.
+
+    A round verifies each node's pair of the most shared grams, so a group of nodes becomes one
+    component by pairs in proportion to their number; pairs inside a component then need no
+    verification. What is left after the last round is verified whole."""
+    for _ in range(rounds):
+        end = lambda c: pairs.select(F.col(c).alias("node"), "a", "b", "shared")  # noqa: B023, E731
+        # Of equal ones that with the least node, where those of a group meet.
+        nearest = F.max_by(F.struct("a", "b"), F.struct("shared", F.bitwise_not("a"), F.bitwise_not("b"))).alias("pair")
+        best = stored(
+            end("a").union(end("b")).groupBy("node").agg(nearest).select("pair.a", "pair.b").distinct(),
+            "jaccard-nearest",
+        )
+        links = links.union(stored(verified(best, sets), "jaccard-links"))
+        labels = components(links)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
+        pairs = stored(
+            pairs.join(best, ["a", "b"], "left_anti")
+            .join(of("a"), "a", "left")
+            .join(of("b"), "b", "left")
+            .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+            .select("a", "b", "shared"),
+            "jaccard-rest",
+        )
+        if pairs.isEmpty():
+            return links
+    # Sets of nodes that are in no such pair need not be dealt out again.
+    sent = pairs.sparkSession.sparkContext.broadcast(_wanted(_nodes_of(pairs)))
+
+    def still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(np.asarray(batch.column("node")), sent.value)))
+
+    return links.union(stored(verified(pairs, sets.mapInArrow(still, SETS)), "jaccard-links"))
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
@@ -783,8 +850,8 @@ def _apart(members: DataFrame, labels: DataFrame, long: DataFrame, sets: DataFra
         .mapInArrow(_across, pair)
     )
     signs = sets.where("segment = -1").dropDuplicates(["node"]).select("node", "size", F.col("grams").alias("bits"))
-    many = apart.join(long, "list", "left_semi").join(signs, "node")
-    return few.unionByName(_blocks(many, "label", "size", "bits").mapInArrow(_refuted, pair))
+    many = apart.join(long, "list", "left_semi")
+    return few.unionByName(_blocks(many, "label", wide=signs).mapInArrow(_refuted, pair))
 
 
 def _link_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -84,11 +84,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers made before, up to so many of a base.
+CACHED_POWERS = 1 << 22
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
+    known = _known_powers.get(base)
+    if known is not None and len(known) >= n:
+        return known[:n]
     out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= CACHED_POWERS:
+        out.flags.writeable = False
+        _known_powers[base] = out
+    return out
 
 
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
