@@ -10,9 +10,10 @@ document counts of grams are taken from a sketch of bounded size.
    are cut into fragments, ranges of the global order, and met in each fragment apart.
 3. A gram's nodes would make pairs by the square of their number. First each is paired only
    with the least one. Pairs are verified, and links make components.
-4. What is left are pairs of one gram that lie in different components. Of these, each node's
-   pair of the most shared grams is verified first, which makes one component of most groups;
-   then all that still lie in different components, so components are those of all links. A group of near copies, one component after
+4. What is left are pairs of one gram that lie in different components. If these are many for
+   their nodes, each node's pair of the most shared grams is verified first, which makes one
+   component of most groups; then all that still lie in different components, so components
+   are those of all links. A group of near copies, one component after
    the first round, has no such pairs, however large it is. A large group whose members are
    not quite alike enough has as many as the square of its number: there, signatures of whole
    sets meet in blocks, and only pairs that these cannot refute become rows.
@@ -62,7 +63,7 @@ MAX_WANTED_LONGS = 1 << 22
 SHORT = 256  # nodes of a list whose pairs are made without regard to whole sets
 MAX_SIGNATURE = 1 << 15
 FLAT_PAIRS = 1 << 20
-ROUNDS = 1  # in which a node's nearest pair is verified before all others
+PAIRS_A_NODE = 4  # beyond which a node's nearest pair is verified before all others
 
 #: Up to so many rows, those to keep are broadcast as bits, a million words of 64; more meet
 #: their documents by a shuffle.
@@ -775,42 +776,44 @@ def links_of(
     # A pair of the first round may have met in more grams than those of its least node, so
     # only what was verified is left out.
     rest = stored(_enough(inside).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.isEmpty():
+    left = rest.count()
+    if not left:
         return first
-    sets = _sets_of(texts, frequent, _nodes_of(rest), in_long.limit(0))
-    if every:
+    nodes = _nodes_of(rest)
+    sets = _sets_of(texts, frequent, nodes, in_long.limit(0))
+    # Where pairs are few for their nodes, a round that deals all sets once more saves nothing.
+    if every or left <= PAIRS_A_NODE * nodes.count():
         return first.union(stored(verified(rest, sets), "jaccard-links"))
     return _connected(first, rest, stored(sets, "jaccard-sets"))
 
 
-def _connected(links: DataFrame, pairs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _connected(links: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """`links`, and as many of the pairs (a, b, shared) that are alike enough as give the same
     components as all of them.
 
-    A round verifies each node's pair of the most shared grams, so a group of nodes becomes one
+    Each node's pair of the most shared grams is verified first, so a group of nodes becomes one
     component by pairs in proportion to their number; pairs inside a component then need no
-    verification. What is left after the last round is verified whole."""
-    for _ in range(rounds):
-        end = lambda c: pairs.select(F.col(c).alias("node"), "a", "b", "shared")  # noqa: B023, E731
-        # Of equal ones that with the least node, where those of a group meet.
-        nearest = F.max_by(F.struct("a", "b"), F.struct("shared", F.bitwise_not("a"), F.bitwise_not("b"))).alias("pair")
-        best = stored(
-            end("a").union(end("b")).groupBy("node").agg(nearest).select("pair.a", "pair.b").distinct(),
-            "jaccard-nearest",
-        )
-        links = links.union(stored(verified(best, sets), "jaccard-links"))
-        labels = components(links)
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
-        pairs = stored(
-            pairs.join(best, ["a", "b"], "left_anti")
-            .join(of("a"), "a", "left")
-            .join(of("b"), "b", "left")
-            .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-            .select("a", "b", "shared"),
-            "jaccard-rest",
-        )
-        if pairs.isEmpty():
-            return links
+    verification. All that is left is verified."""
+    end = lambda c: pairs.select(F.col(c).alias("node"), "a", "b", "shared")
+    # Of equal ones that with the least node, where those of a group meet.
+    nearest = F.max_by(F.struct("a", "b"), F.struct("shared", F.bitwise_not("a"), F.bitwise_not("b"))).alias("pair")
+    best = stored(
+        end("a").union(end("b")).groupBy("node").agg(nearest).select("pair.a", "pair.b").distinct(),
+        "jaccard-nearest",
+    )
+    links = links.union(stored(verified(best, sets), "jaccard-links"))
+    labels = components(links)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    pairs = stored(
+        pairs.join(best, ["a", "b"], "left_anti")
+        .join(of("a"), "a", "left")
+        .join(of("b"), "b", "left")
+        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+        .select("a", "b", "shared"),
+        "jaccard-rest",
+    )
+    if pairs.isEmpty():
+        return links
     # Sets of nodes that are in no such pair need not be dealt out again.
     sent = pairs.sparkSession.sparkContext.broadcast(_wanted(_nodes_of(pairs)))
 
