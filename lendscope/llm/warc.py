@@ -38,6 +38,9 @@ MAX_FILE_BYTES = 512 << 20
 MAX_RANGE_BYTES = 8 << 20
 MAX_GAP_BYTES = 64 << 10
 TASK_BYTES = 32 << 20
+#: Of decoded payloads, and rows, that a batch of records read has at most, but for its last.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2048
 DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "page_id long, url string, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
@@ -198,7 +201,7 @@ def _ranges(rows, max_range: int, max_gap: int):
         yield run[0][0], start, end, run
 
 
-def _reader(path: str, max_range: int, max_gap: int, payloads: bool):
+def _reader(path: str, max_range: int, max_gap: int, payloads: bool, batch_bytes: int = BATCH_BYTES):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
 
@@ -217,11 +220,17 @@ def _reader(path: str, max_range: int, max_gap: int, payloads: bool):
                 if source is not None:
                     source.close()
                 name, source = file, store.open_input_file(f"{root}/{file}")
-            data = source.read_at(end - start, start)
-            records = [decode(data[o - start : o - start + n]) for _, o, n in run]
-            if not payloads:
-                records = [r | {"payload": None} for r in records]
-            yield _arrow(records, RECORDS)
+            data, records, held = source.read_at(end - start, start), [], 0
+            for _, offset, length in run:
+                record = decode(data[offset - start : offset - start + length])
+                held += len(record["payload"] or "")
+                records.append(record if payloads else record | {"payload": None})
+                # Decoded payloads can be many times as large as the range.
+                if held > batch_bytes or len(records) >= BATCH_ROWS:
+                    yield _arrow(records, RECORDS)
+                    records, held = [], 0
+            if records:
+                yield _arrow(records, RECORDS)
         if source is not None:
             source.close()
 
