@@ -44,7 +44,9 @@ PLACES = 6
 LEVELS = ((24, 2), (48, 4))
 TRIALS = 200
 MAX_KEYS = 4_000_000
-BLOCK = 1 << 15
+#: Windows whose keys are made at once, and bytes of text: what a task holds is some tens of MB.
+BLOCK = 1 << 14
+SLICE_BYTES = 1 << 20
 FILTER_BITS = 22
 
 MATCHES = "doc_id long, item_id long, start long, end long, start_word long, end_word long, distance long"
@@ -120,8 +122,10 @@ def keys(symbols: np.ndarray, starts: np.ndarray, plan: Scheme) -> np.ndarray:
                     out[r, a : a + BLOCK] += symbol * coefficient
                 at += ((symbol * turn) >> np.uint64(63)).astype(np.int64)
     # A key also tells its class and repetition.
-    tag = (np.arange(repetitions, dtype=np.uint64) + np.uint64(plan.sizes.window << 20))[:, None]
-    return W.mix(out + W.mix(tag + _ONE))
+    tags = W.mix(np.arange(repetitions, dtype=np.uint64) + np.uint64(plan.sizes.window << 20) + _ONE)
+    for own, tag in zip(out, tags, strict=True):
+        own[:] = W.mix(own + tag)
+    return out
 
 
 def edited(item: np.ndarray, random: np.random.Generator, rate: float) -> np.ndarray:
@@ -319,8 +323,11 @@ def candidates(symbols: np.ndarray, first: np.ndarray, items: Items) -> np.ndarr
         text = np.repeat(np.arange(len(counts)), windows)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
         starts = first[:-1][text] + nth * stride
-        for own in keys(symbols, starts, plan):
-            meet(own, text, starts)
+        for a in range(0, len(starts), BLOCK):
+            begin = starts[a : a + BLOCK]
+            here = symbols[begin[0] : begin[-1] + window]
+            for own in keys(here, begin - begin[0], plan):
+                meet(own, text[a : a + BLOCK], begin)
     for size in items.pieces:
         owner = np.repeat(np.arange(len(counts)), counts)
         own = piece_keys(symbols, size)
@@ -332,7 +339,7 @@ def candidates(symbols: np.ndarray, first: np.ndarray, items: Items) -> np.ndarr
 def passages(column: pa.Array, items: Items, max_edit: float = MAX_EDIT) -> Iterator[tuple]:
     """(text, item, start, end, start_word, end_word, distance) of each match: the best run for
     every place where an item may start. start and end are code points, end exclusive."""
-    for a, b in W.slices(column):
+    for a, b in W.slices(column, SLICE_BYTES):
         text, bounds = W.raw(column.slice(a, b - a))
         words, kept = normalised(text, bounds)
         symbols = W.hashes(words)
