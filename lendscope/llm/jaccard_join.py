@@ -10,15 +10,19 @@ document counts of grams are taken from a sketch of bounded size.
    are cut into fragments, ranges of the global order, and met in each fragment apart.
 3. A gram's nodes would make pairs by the square of their number. First each is paired only
    with the least one. Pairs are verified, and links make components.
-4. What is left are pairs of one gram that lie in different components. If these are many for
-   their nodes, each node's pair of the most shared grams is verified first, which makes one
-   component of most groups; then all that still lie in different components, so components
-   are those of all links. A group of near copies, one component after
-   the first round, has no such pairs, however large it is. A large group whose members are
-   not quite alike enough has as many as the square of its number: there, signatures of whole
-   sets meet in blocks, and only pairs that these cannot refute become rows.
-
-Where links are counted, step 4 takes all pairs of a gram's nodes, also those of one component.
+4. Lists of a gram's nodes that are long are dealt to blocks, where a signature of each whole
+   set tells which node of another component may be nearest. Only these pairs become rows, one
+   for a node at most, and are verified, twice over different blocks: that makes one component
+   of most groups, whichever node was least.
+5. What is left are pairs of one gram that lie in different components. If these are many for
+   their nodes, each node's pair of the most shared grams is verified first; then all that still
+   lie in different components, so components are those of all links. A group of near copies,
+   one component by then, has no such pairs, however large it is. A large group whose members are
+   not quite alike enough has as many as the square of its number: there, sets meet in blocks,
+   by signatures and then by 32 bits of each gram, and only pairs that these cannot refute
+   become rows.
+
+Where links are counted, step 5 takes all pairs of a gram's nodes, also those of one component.
 Copies are one node; each counts as a link of the others, and for every link of their node.
 
 Fragments count apart how many prefix grams a pair shares; the sum per pair must reach what
@@ -56,12 +60,14 @@ MAX_CELLS = 1 << 26
 FREQUENT = 4
 
 BUCKET_BYTES = 16 << 20
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 SEGMENTS = 3  # bits of the global order that tell a set's segments apart
 MEMBERS = 512  # of one set's partners in one task
 MAX_WANTED_LONGS = 1 << 22
 SHORT = 256  # nodes of a list whose pairs are made without regard to whole sets
 MAX_SIGNATURE = 1 << 15
+MAX_PRINTS = 1 << 11  # grams of a set that goes to blocks whole, by 32 bits of each
+DEALS = 2  # ways that nodes of long lists are dealt to blocks to find their nearest
 FLAT_PAIRS = 1 << 20
 PAIRS_A_NODE = 4  # beyond which a node's nearest pair is verified before all others
 
@@ -455,12 +461,44 @@ def signature_bits(size: int) -> int:
 
 def signature(grams: np.ndarray) -> np.ndarray:
     """A set as bits, one for each value of a hash."""
-    bits = signature_bits(len(grams))
+    return _signed(prints(grams))
+
+
+def prints(grams: np.ndarray) -> np.ndarray:
+    """32 bits of each gram of a set, sorted."""
+    return np.sort((W.mix(grams) >> np.uint64(32)).astype(np.uint32))
+
+
+def _signed(prints: np.ndarray) -> np.ndarray:
+    bits = signature_bits(len(prints))
     out = np.zeros(bits, bool)
-    out[(W.mix(grams) >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+    out[prints >> np.uint32(33 - bits.bit_length())] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """What blocks know of a set: its prints, or a signature of bounded size. Lengths tell which."""
+    size = len(grams)
+    whole = size <= MAX_PRINTS and 4 * size != signature_bits(size) // 8
+    return (prints(grams) if whole else signature(grams)).tobytes()
+
+
+def unpacked(known: bytes, size: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """A set's signature, and its prints if these are known."""
+    if len(known) == signature_bits(size) // 8:
+        return np.frombuffer(known, np.uint64), None
+    own = np.frombuffer(known, np.uint32)
+    return _signed(own), own
+
+
+def shared_prints(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many prints of each other set are among these: what they share, or more."""
+    every = np.concatenate(others)
+    same = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+    ends = np.cumsum([len(x) for x in others])
+    return np.diff(np.append(0, np.append(0, np.cumsum(same))[ends]))
+
+
 def folded(signatures: np.ndarray) -> np.ndarray:
     """Signatures of half the bits: neighbouring bits as one, as a hash of one bit less has it."""
     bits = np.unpackbits(signatures.view(np.uint8), axis=1, bitorder="little")
@@ -475,40 +513,51 @@ def most_shared(mine: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarr
     return both + np.minimum(spare, sizes - np.bitwise_count(others).sum(axis=1).astype(np.int64))
 
 
-def _refuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same of long lists, by pairs of blocks as `_blocks` sorts them: of all pairs, those
-    whose whole sets may share enough by their signatures."""
-
-    def pairs(key, own, label, node, code, shared, size, bits):
-        widths = np.array([len(x) * 8 for x in bits])
-        one, two = [], []
-        for width in np.unique(widths):
-            same, wider = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
-            view = lambda rows: np.frombuffer(b"".join(bits[k] for k in rows), np.uint64).reshape(len(rows), -1)  # noqa: B023, E731
-            place = np.concatenate([same, wider])
-            table = np.concatenate([view(same), folded(view(wider))]) if len(wider) else view(same)
-            for k in range(len(same)):
-                rest = place[k + 1 :]
-                may = (label[rest] != label[place[k]]) & sizes_fit(code[rest], code[place[k]])
-                if key[1] != key[2]:
-                    may &= own[rest] != own[place[k]]
-                rest = np.flatnonzero(may) + k + 1
-                if not len(rest):
-                    continue
-                sizes = size[place[rest]]
-                least = -(-PERCENT * (sizes + size[place[k]]) // (100 + PERCENT))
-                rest = rest[most_shared(table[k], table[rest], size[place[k]], sizes) >= least]
-                one.append(np.full(len(rest), place[k]))
-                two.append(place[rest])
-        if one:
-            yield _pair_batch(np.concatenate(one), np.concatenate(two), node, code, shared)
-
+def _may_link(key, own, label, code, size, known, exact: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of the nodes of two blocks: a place, places of others in different components that it may
+    be linked with, and the most they may share; each pair once. By signatures, and `exact` by
+    the prints that these cannot refute."""
+    signs, own_prints = zip(*(unpacked(x, int(n)) for x, n in zip(known, size, strict=True)), strict=True)
+    widths = np.array([len(x) for x in signs])
+    least_of = lambda a, b: -(-PERCENT * (size[a] + size[b]) // (100 + PERCENT))
+    for width in np.unique(widths):
+        same, wider = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+        view = lambda rows: np.stack([signs[k] for k in rows])
+        place = np.concatenate([same, wider])
+        table = np.concatenate([view(same), folded(view(wider))]) if len(wider) else view(same)
+        for k, me in enumerate(same):
+            rest = place[k + 1 :]
+            may = (label[rest] != label[me]) & sizes_fit(code[rest], code[me])
+            if key[1] != key[2]:
+                may &= own[rest] != own[me]
+            at = np.flatnonzero(may) + k + 1
+            if not len(at):
+                continue
+            most = most_shared(table[k], table[at], size[me], size[place[at]])
+            enough = most >= least_of(me, place[at])
+            rest, most = place[at[enough]], most[enough]
+            told = [j for j, other in enumerate(rest) if own_prints[other] is not None] if exact else []
+            if told and own_prints[me] is not None:
+                most[told] = shared_prints(own_prints[me], [own_prints[rest[j]] for j in told])
+                enough = most >= least_of(me, rest)
+                rest, most = rest[enough], most[enough]
+            if len(rest):
+                yield int(me), rest, most
+
+
+def _by_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of each pair of blocks, as `_blocks` sorts them: its key, then columns."""
     names = ("own", "label", "node", "code", "shared", "size")
     key, held = None, []
+
+    def whole():
+        *parts, known = zip(*held, strict=True)
+        return key, *(np.concatenate(x) for x in parts), sum(known, [])
+
     for batch in batches:
         keys = [np.asarray(batch.column(n)) for n in ("list", "low", "high")]
         rows = [np.asarray(batch.column(n)) for n in names]
-        bits = batch.column("bits").to_pylist()
+        known = batch.column("bits").to_pylist()
         if not batch.num_rows:
             continue
         cuts = np.append(np.unique(_first_of_run(*keys)), batch.num_rows)
@@ -516,24 +565,57 @@ def _refuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = tuple(int(k[begin]) for k in keys)
             if here != key:
                 if held:
-                    *parts, signs = zip(*held, strict=True)
-                    yield from pairs(key, *(np.concatenate(x) for x in parts), sum(signs, []))
+                    yield whole()
                 key, held = here, []
-            held.append([*(x[begin:end] for x in rows), bits[begin:end]])
+            held.append([*(x[begin:end] for x in rows), known[begin:end]])
     if held:
-        *parts, signs = zip(*held, strict=True)
-        yield from pairs(key, *(np.concatenate(x) for x in parts), sum(signs, []))
+        yield whole()
 
 
-def _blocks(members: DataFrame, *more: str, wide: DataFrame | None = None) -> DataFrame:
+def _refuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of long lists, by pairs of blocks: of all pairs, those whose whole sets may share
+    enough by what blocks know of them."""
+    for key, own, label, node, code, shared, size, known in _by_blocks(batches):
+        found = [(np.full(len(rest), me), rest) for me, rest, _ in _may_link(key, own, label, code, size, known, True)]
+        if found:
+            one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield _pair_batch(one, two, node, code, shared)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block's nodes: the pair (a, b) with the one of another component that it may be
+    most alike, if enough, and how much. A row for a node at most."""
+    for key, own, label, node, code, shared, size, known in _by_blocks(batches):
+        best, other = np.zeros(len(node)), np.full(len(node), -1)
+        for me, rest, most in _may_link(key, own, label, code, size, known, False):
+            alike = most / (size[me] + size[rest] - most)
+            j = int(np.argmax(alike))
+            if alike[j] > best[me]:
+                best[me], other[me] = alike[j], rest[j]
+            more = alike > best[rest]
+            best[rest[more]], other[rest[more]] = alike[more], me
+        one = np.flatnonzero(other >= 0)
+        a, b = np.minimum(node[one], node[other[one]]), np.maximum(node[one], node[other[one]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (node[one], a, b, best[one])], names=["node", "a", "b", "alike"]
+        )
+
+
+def _blocks(
+    members: DataFrame, *more: str, wide: DataFrame | None = None, deal: int | None = None
+) -> DataFrame:
     """The nodes of each list, those of a long one in blocks of about MEMBERS: a row for every
-    pair of blocks that a node is to be paired in, and `more` columns of the node. Columns of
-    the table `wide` of nodes are joined last, so they are dealt to blocks only once."""
+    pair of blocks that a node is to be paired in, and `more` columns of the node. With a number
+    `deal`, a row for each node, to be paired in its own block; others are in it by another
+    number. Columns of the table `wide` of nodes are joined last, so they are dealt to blocks
+    only once."""
     load = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
-    own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    seed = [] if deal is None else ["list", F.lit(deal)]
+    own = F.pmod(F.xxhash64("node", *seed), F.col("salts")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)) if deal is None else own
     rows = (
         members.join(load, "list")
-        .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+        .select("*", own.alias("own"), others.alias("other"))
         .select(
             "list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
             "own", "node", "code", "shared", *more,
@@ -621,7 +703,7 @@ def _passes(nodes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _segments(sent):
-    """The whole sets of some nodes, by segment, and as segment -1 the signatures of others;
+    """The whole sets of some nodes, by segment, and as segment -1 what blocks know of others;
     once for a node in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -648,7 +730,7 @@ def _segments(sent):
                         for k in np.flatnonzero(np.diff(cuts))
                     ]
                 if marked[i]:
-                    rows.append((int(own[i]), -1, len(mine), signature(mine).tobytes()))
+                    rows.append((int(own[i]), -1, len(mine), packed(mine)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -765,17 +847,20 @@ def links_of(
         "jaccard-long",
     )
     in_long = members.join(long, "list", "left_semi").select("node").distinct()
-    sets = stored(_sets_of(texts, frequent, _nodes_of(pairs), in_long), "jaccard-sets")
+    nodes = _nodes_of(pairs)
+    sets = stored(_sets_of(texts, frequent, nodes if every else nodes.union(in_long), in_long), "jaccard-sets")
     first = stored(verified(pairs, sets.where("segment >= 0")), "jaccard-links")
+    tried = pairs.select("a", "b")
     if every:
         inside = _blocks(members).mapInArrow(
             _within, "a long, b long, code_a long, code_b long, shared long"
         )
     else:
+        first, tried = _nearest_linked(members, long, sets, first, tried)
         inside = _apart(members, components(first), long, sets)
     # A pair of the first round may have met in more grams than those of its least node, so
     # only what was verified is left out.
-    rest = stored(_enough(inside).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = stored(_enough(inside).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     left = rest.count()
     if not left:
         return first
@@ -834,10 +919,8 @@ def _sets_of(texts: DataFrame, frequent: np.ndarray, whole: DataFrame, signed: D
     return texts.mapInArrow(_segments(sent), SETS)
 
 
-def _apart(members: DataFrame, labels: DataFrame, long: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a list's nodes that lie in different components. In long lists, which would
-    make pairs by the square of their number, whole sets refute pairs before there is a row."""
-    pair = "a long, b long, code_a long, code_b long, shared long"
+def _spread(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of lists that lie in several components, and the label of each node's."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     spread = (
         labelled.groupBy("list")
@@ -845,16 +928,52 @@ def _apart(members: DataFrame, labels: DataFrame, long: DataFrame, sets: DataFra
         .where("least < most")
         .select("list")
     )
-    apart = stored(labelled.join(spread, "list", "left_semi"), "jaccard-apart")
+    return stored(labelled.join(spread, "list", "left_semi"), "jaccard-apart")
+
+
+def _known(sets: DataFrame) -> DataFrame:
+    """What blocks know of nodes of long lists."""
+    return sets.where("segment = -1").dropDuplicates(["node"]).select("node", "size", F.col("grams").alias("bits"))
+
+
+def _nearest_linked(
+    members: DataFrame, long: DataFrame, sets: DataFrame, links: DataFrame, tried: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """`links` and those of the pairs that nodes of long lists make with their nearest; and the
+    pairs `tried` with these.
+
+    Nodes are paired in their own block only, and of its nearest in all lists a node keeps one.
+    That makes one component of what is linked in a block, and dealt anew, of several blocks."""
+    members = members.join(long, "list", "left_semi")
+    for deal in range(DEALS):
+        apart = _spread(members, components(links))
+        if apart.isEmpty():
+            break
+        blocks = _blocks(apart, "label", wide=_known(sets), deal=deal)
+        near = blocks.mapInArrow(_nearest, "node long, a long, b long, alike double")
+        best = F.max_by(F.struct("a", "b"), F.struct("alike", F.bitwise_not("a"), F.bitwise_not("b"))).alias("pair")
+        pairs = stored(
+            near.join(tried, ["a", "b"], "left_anti").groupBy("node").agg(best).select("pair.a", "pair.b").distinct(),
+            "jaccard-nearest",
+        )
+        links = links.union(stored(verified(pairs, sets.where("segment >= 0")), "jaccard-links"))
+        tried = tried.union(pairs)
+    return links, tried
+
+
+def _apart(members: DataFrame, labels: DataFrame, long: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a list's nodes that lie in different components. In long lists, which would
+    make pairs by the square of their number, whole sets refute pairs before there is a row."""
+    pair = "a long, b long, code_a long, code_b long, shared long"
+    apart = _spread(members, labels)
     few = (
         apart.join(long, "list", "left_anti")
         .repartition("list")
         .sortWithinPartitions("list", "label", "node")
         .mapInArrow(_across, pair)
     )
-    signs = sets.where("segment = -1").dropDuplicates(["node"]).select("node", "size", F.col("grams").alias("bits"))
     many = apart.join(long, "list", "left_semi")
-    return few.unionByName(_blocks(many, "label", wide=signs).mapInArrow(_refuted, pair))
+    return few.unionByName(_blocks(many, "label", wide=_known(sets)).mapInArrow(_refuted, pair))
 
 
 def _link_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
