@@ -60,6 +60,7 @@ MAX_CELLS = 1 << 26
 FREQUENT = 4
 
 BUCKET_BYTES = 16 << 20
+FINER = 2  # bits by which fragments are finer: prefixes lie in the first quarter of the order
 FLUSH = 1 << 20
 SEGMENTS = 3  # bits of the global order that tell a set's segments apart
 MEMBERS = 512  # of one set's partners in one task
@@ -74,7 +75,7 @@ PAIRS_A_NODE = 4  # beyond which a node's nearest pair is verified before all ot
 #: Up to so many rows, those to keep are broadcast as bits, a million words of 64; more meet
 #: their documents by a shuffle.
 ROWS_AS_BITS = 1 << 26
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: Set sizes go along in the low bits of a gram's order: as they are below EXACT, above that
 #: to 1/STEP in their logarithm.
@@ -380,14 +381,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     bucket, parts = None, []
     for batch in batches:
-        for own, grams, nodes in zip(
-            *(batch.column(n).to_pylist() for n in ("bucket", "grams", "nodes")), strict=True
-        ):
-            if own != bucket:
+        for own, grams, nodes in zip(*(batch.column(n) for n in ("bucket", "grams", "nodes")), strict=True):
+            if own.as_py() != bucket:
                 if parts and (out := met(parts)) is not None:
                     yield out
-                bucket, parts = own, []
-            parts.append((grams, nodes))
+                bucket, parts = own.as_py(), []
+            parts.append((grams.as_py(), nodes.as_py()))
     if parts and (out := met(parts)) is not None:
         yield out
 
@@ -826,7 +825,7 @@ def links_of(
     bits = max(1, (grams * 4 // bucket_bytes).bit_length() + 1)
     sent = spark.sparkContext.broadcast(frequent)
     met = stored(
-        texts.mapInArrow(_prefixes(sent, bits), ENTRIES)
+        texts.mapInArrow(_prefixes(sent, bits + FINER), ENTRIES)
         .repartition(1 << bits, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_meet, MET),
